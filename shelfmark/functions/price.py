@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import clean_text, col, first_filled, or_empty
+from .text import clean_text, col, first_filled, let, or_empty
 
 CURRENCIES = ("usd", "cad", "cny")
 CANONICAL = "cny"
@@ -51,56 +51,73 @@ def rates_column(rates: Rates | DataFrame | Column) -> Column:
     return rates
 
 
+def number_in(text: Column) -> Column:
+    """:func:`coerce_number` for text that is clean already."""
+    found = F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), NUMBER, 0)
+    # No match gives an empty text, which does not cast. Digits alone can only overflow.
+    value = found.try_cast("double")
+    return F.when(F.length(text) < 300, value).otherwise(finite(value))
+
+
 def coerce_number(c: Column | str) -> Column:
     """First signed decimal in a text once commas are gone; NULL if none or not finite."""
-    found = F.regexp_extract(F.replace(clean_text(c), F.lit(","), F.lit("")), NUMBER, 0)
-    return finite(F.nullif(found, F.lit("")).try_cast("double"))
+    return number_in(clean_text(c))
 
 
 def finite(c: Column | str) -> Column:
     v = col(c).cast("double")
-    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(None)).otherwise(v)
+    return F.when(F.abs(v) < float("inf"), v)
 
 
 def currency_code(c: Column | str) -> Column:
-    code = F.lower(clean_text(c))
-    return F.when(code.isin(*CURRENCIES), code).otherwise(F.lit(""))
+    """``usd``, ``cad`` or ``cny``, else the empty string."""
+    return F.regexp_extract(F.lower(clean_text(c)), "^(?:usd|cad|cny)$", 0)
 
 
-def currency_marker(c: Column | str) -> Column:
-    """Currency named or signed in a price text, most specific sign first."""
-    text = F.upper(clean_text(c))
+def marker_in(text: Column) -> Column:
+    """:func:`currency_marker` for text that is clean already."""
+    # One pass over the text finds every marker it has.
     return (
-        F.when(text.rlike(r"CA\$|C\$|CAD"), F.lit("cad"))
-        .when(text.rlike("[￥¥]|CNY|RMB"), F.lit("cny"))
-        .when(text.rlike(r"US\$|USD|\$"), F.lit("usd"))
+        F.when(text.rlike(r"(?i)CA?\$|CAD"), F.lit("cad"))
+        .when(text.rlike("(?i)[￥¥]|CNY|RMB"), F.lit("cny"))
+        .when(text.rlike(r"(?i)USD|\$"), F.lit("usd"))
         .otherwise(F.lit(""))
     )
 
 
+def currency_marker(c: Column | str) -> Column:
+    """Currency named or signed in a price text, most specific sign first."""
+    return marker_in(clean_text(c))
+
+
+def currency_of(text: Column, code: Column) -> Column:
+    """:func:`source_currency` for a clean text and a checked code."""
+    marker = marker_in(text)
+    fallback = F.when(code != "", code).when(text != "", F.lit(CANONICAL)).otherwise(F.lit(""))
+    return F.coalesce(F.when(marker != "", marker), fallback)
+
+
 def source_currency(text: Column | str, code: Column | str | None = None) -> Column:
     """Marker in the text, else the explicit code, else the default; empty without either."""
-    shown = clean_text(text)
-    explicit = currency_code(code) if code is not None else F.lit("")
-    return F.when((shown == "") & (explicit == ""), F.lit("")).otherwise(
-        first_filled(currency_marker(shown), explicit, F.lit(CANONICAL))
-    )
+    return currency_of(clean_text(text), currency_code(code) if code is not None else F.lit(""))
+
+
+def per_cad(code: Column, rates: Column) -> Column:
+    """Value of one unit of a currency in CAD; NULL when the rates are unusable."""
+    usd, cny = rates["usd_to_cad"], rates["cny_to_cad"]
+    usable = (finite(usd) > 0) & (finite(cny) > 0)
+    return F.when(usable, F.when(code == "cad", F.lit(1.0)).when(code == "usd", usd).when(code == "cny", cny))
 
 
 def convert(value: Column | str, source: Column | str, target: Column | str, rates) -> Column:
     """Convert through CAD. The same currency needs no rates; unusable rates give NULL."""
-    v = finite(value)
-    src = currency_code(source)
-    dst = currency_code(target)
+    return convert_known(finite(value), currency_code(source), currency_code(target), rates)
+
+
+def convert_known(v: Column, src: Column, dst: Column, rates) -> Column:
+    """:func:`convert` for a finite value and checked codes."""
     r = rates_column(rates)
-    usd, cny = finite(r["usd_to_cad"]), finite(r["cny_to_cad"])
-    in_cad = F.when(src == "cad", v).when(src == "usd", v * usd).otherwise(v * cny)
-    out = F.when(dst == "cad", in_cad).when(dst == "usd", in_cad / usd).otherwise(in_cad / cny)
-    return (
-        F.when((src == "") | (dst == ""), F.lit(None).cast("double"))
-        .when(src == dst, v)
-        .when((usd > 0) & (cny > 0), out)
-    )
+    return F.when((src == dst) & (src != ""), v).otherwise(v * per_cad(src, r) / per_cad(dst, r))
 
 
 def _trim_decimals(text: Column, keep: int) -> Column:
@@ -110,43 +127,26 @@ def _trim_decimals(text: Column, keep: int) -> Column:
 
 def format_price(value: Column | str, code: Column | str) -> Column:
     """Currency prefix and amount with two to four decimals."""
-    v = finite(value)
-    unit = first_filled(currency_code(code), F.lit(CANONICAL))
+    unit = col(code)
     prefix = F.when(unit == "usd", F.lit(PREFIX["usd"])).when(unit == "cad", F.lit(PREFIX["cad"])).otherwise(
         F.lit(PREFIX["cny"])
     )
+    v = col(value)
     return F.when(v.isNotNull(), F.concat(prefix, _trim_decimals(F.format_string("%.4f", v), 2)))
 
 
 def display_amount(value: Column | str, currency: str) -> Column:
     """Amount for display with grouping: 2-4 decimals, 3-6 when smaller than a cent."""
-    v = finite(value)
+    v = col(value)
     size = F.abs(v)
-    plain = _trim_decimals(F.format_string("%,.4f", size), 2)
-    tiny = _trim_decimals(F.format_string("%,.6f", size), 3)
+    tiny = (size > 0) & (size < 0.01)
+    shown = F.when(tiny, _trim_decimals(F.format_string("%,.6f", size), 3)).otherwise(
+        _trim_decimals(F.format_string("%,.4f", size), 2)
+    )
     sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
-    shown = F.when((size > 0) & (size < 0.01), tiny).otherwise(plain)
     return F.when(v.isNotNull(), F.concat(sign, F.lit(DISPLAY_SIGN[currency]), shown))
 
 
-def display_price(value: Column | str, text: Column | str, currency: str, rates, original: Column | str | None = None,
-                  base: str = CANONICAL) -> tuple[Column, Column]:
-    """Primary price in the chosen currency and a line with the other currencies."""
-    v = finite(value)
-
-    def shown(code: str) -> Column:
-        return display_amount(convert(v, F.lit(base), F.lit(code), rates), code)
-
-    fallback = first_filled(text, F.lit("No price"))
-    primary = F.coalesce(F.when(v.isNotNull(), shown(currency)), fallback)
-    others = [shown(code) for code in CURRENCIES if code != currency]
-    if original is not None:
-        differs = (or_empty(original) != "") & (or_empty(original) != or_empty(text))
-        others.append(F.when(differs, F.concat(F.lit("Original "), col(original))))
-    secondary = F.when(v.isNotNull(), F.concat_ws(" · ", *others)).otherwise(F.lit(""))
-    return primary, secondary
-
-
 def price_range(c: Column | str) -> Column:
     """``a-b`` or ``a..b`` to a struct of bounds (ends put in order); one number is a lower bound."""
     text = or_empty(c)
@@ -187,14 +187,16 @@ def rescale_text(c: Column | str, factor: float = 100.0) -> Column:
     return F.when(number.isNotNull(), scaled).otherwise(text)
 
 
-def price_from_text(text: Column | str, title: Column | str, window: int = 1000) -> Column:
-    """Yuan price in a page's text: next to the product link, else close behind the title."""
-    body = clean_text(text)
-    linked = F.regexp_extract(body, r"(?i)Product link\s*>\s*([￥¥]\s*\d+(?:\.\d+)?)", 1)
-    needle = F.substring(F.lower(clean_text(title)), 1, 80)
-    at = F.when(needle != "", F.position(needle, F.lower(body)))
-    near = F.regexp_extract(F.substr(body, at, F.lit(window)), r"[￥¥]\s*\d+(?:\.\d+)?", 0)
-    found = first_filled(linked, F.when(at > 0, near))
-    tidy = F.replace(F.replace(found, F.lit("¥"), F.lit("￥")), F.lit(" "), F.lit(""))
-    value = coerce_number(tidy)
-    return F.when(value > 0, F.struct(tidy.alias("price"), value.alias("value")))
+LINKED_PRICE = r"(?i)Product link\s*>\s*([￥¥]\s*\d+(?:\.\d+)?)"
+YUAN_PRICE = r"[￥¥]\s*\d+(?:\.\d+)?"
+
+
+def price_near(body: Column, title: Column, window: int = 1000) -> Column:
+    """Yuan price text in a clean page text: next to the product link, else within
+    ``window`` characters of the title's first 80. Empty when there is none."""
+    needle = F.substring(F.lower(title), 1, 80)
+    at = F.position(needle, F.lower(body))
+    close = let(at, lambda n: F.regexp_extract(F.substr(body, n, F.lit(window)), YUAN_PRICE, 0))
+    linked = F.regexp_extract(body, LINKED_PRICE, 1)
+    found = F.coalesce(F.nullif(linked, F.lit("")), F.when((needle != "") & F.contains(F.lower(body), needle), close), F.lit(""))
+    return F.replace(F.replace(found, F.lit("¥"), F.lit("￥")), F.lit(" "), F.lit(""))

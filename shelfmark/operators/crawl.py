@@ -194,7 +194,7 @@ def rate_limit_active(events: DataFrame, signal: Column, ts: str = "ts", by: str
     bucket before is recent if its last signal is. So two numbers per bucket are enough.
     """
     width = seconds * 1_000_000
-    staged = events.withColumns({"_t": F.unix_micros(ts), "_hit": signal})
+    staged = events.withColumns({"_t": F.unix_micros(F.col(ts).cast("timestamp")), "_hit": signal})
     staged = staged.withColumn("_b", F.col("_t") - F.pmod(F.col("_t"), F.lit(width)))
     marks = staged.filter("_hit").groupBy(by, "_b").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
     here = marks.select(by, "_b", "_first")

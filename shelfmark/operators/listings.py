@@ -62,17 +62,17 @@ def normalize_listings(raw: DataFrame, agent: str = "agent") -> DataFrame:
         {
             "source_url": X.first_filled("source0", "alternate0"),
             "alternate_url": X.first_filled("alternate0", "source0"),
-            "price_currency": P.source_currency("price_text", "currency0"),
-            "price_value": F.coalesce("value0", P.coerce_number("price_text")),
+            "price_currency": P.currency_of(F.col("price_text"), F.col("currency0")),
+            "price_value": F.coalesce("value0", P.number_in(F.col("price_text"))),
             "price_original": X.first_filled("original0", "price_text"),
         }
     )
     staged = staged.withColumns(
         {
-            "price_original_currency": P.source_currency(
-                "price_original", X.first_filled("original_currency0", "price_currency")
+            "price_original_currency": P.currency_of(
+                F.col("price_original"), X.first_filled("original_currency0", "price_currency")
             ),
-            "price_original_value": F.coalesce("original_value0", P.coerce_number("price_original")),
+            "price_original_value": F.coalesce("original_value0", P.number_in(F.col("price_original"))),
             "offer_id": X.first_filled(
                 "offer0", U.offer_id("agent_url", "source_url", "alternate_url", "image_file")
             ),
@@ -130,30 +130,30 @@ def index_listings(listings: DataFrame) -> DataFrame:
 def index_rich(listings: DataFrame) -> DataFrame:
     """Search columns of the fuzzy ranking: accents folded, token order kept, part numbers found."""
     blob = F.concat_ws(" ", *[X.or_empty(c) for c in ("title", "shop", "offer_id", "price_text", "sales")])
-    df = listings.withColumns(
+    folded = listings.withColumns(
         {
-            "_title": X.normalize_fold(X.or_empty("title")),
-            "_shop": X.normalize_fold(X.or_empty("shop")),
-            "_offer": X.normalize_fold(X.or_empty("offer_id")),
-            "_blob": X.normalize_fold(blob),
+            "_title0": X.strip_marks(X.or_empty("title")),
+            "_shop0": X.strip_marks(X.or_empty("shop")),
+            "_offer0": X.strip_marks(X.or_empty("offer_id")),
+            "_blob0": X.strip_marks(blob),
         }
     )
-    df = df.withColumns(
+    texts = {f"_{f}": X.normalize_search(f"_{f}0") for f in ("title", "shop", "offer", "blob")}
+    df = X.compute_once(folded, texts).drop("_title0", "_shop0", "_offer0", "_blob0")
+    packed = {f"{f}_compact": X.compact(f) for f in texts}
+    sequences = {f"{f}_seq": X.token_seq(f) for f in ("_title", "_blob")}
+    df = X.compute_once(df, packed | sequences)
+    df = X.compute_once(
+        df,
         {
-            "_title_compact": X.compact("_title"),
-            "_shop_compact": X.compact("_shop"),
-            "_offer_compact": X.compact("_offer"),
-            "_blob_compact": X.compact("_blob"),
-            "_title_seq": X.token_seq("_title"),
-            "_blob_seq": X.token_seq("_blob"),
-            "_title_tokens": X.tokens("_title"),
+            "_title_tokens": F.array_distinct("_title_seq"),
             "_shop_tokens": X.tokens("_shop"),
             "_offer_tokens": X.tokens("_offer"),
-            "_blob_tokens": X.tokens("_blob"),
-        }
+            "_blob_tokens": F.array_distinct("_blob_seq"),
+        },
     )
     candidates = F.array_distinct(F.concat("_offer_tokens", "_title_tokens", "_blob_tokens"))
-    return df.withColumn("_part_tokens", F.filter(candidates, X.token_is_part))
+    return X.compute_once(df, {"_part_tokens": F.filter(candidates, X.token_is_part)})
 
 
 def public_columns(df: DataFrame) -> DataFrame:

@@ -18,21 +18,34 @@ def _text(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("string") if name in df.columns else F.lit("")
 
 
-def price_source(df: DataFrame) -> tuple[Column, Column, Column]:
-    """Text, currency and value a row's price comes from; originals win over current ones."""
-    original, current = X.clean_text(_text(df, "price_original")), X.clean_text(_text(df, "price"))
-    text = X.first_filled(original, current)
-    code = X.first_filled(
-        P.currency_code(_text(df, "price_original_currency")), P.currency_code(_text(df, "price_currency"))
+def price_source(df: DataFrame) -> DataFrame:
+    """Add ``_text, _currency, _value``: what a row's price comes from. Originals win over
+    current ones.
+
+    Built in steps, so that no step repeats the expressions of the one before.
+    """
+    df = df.withColumns(
+        {
+            "_original": X.clean_text(_text(df, "price_original")),
+            "_current": X.clean_text(_text(df, "price")),
+            "_code": P.currency_code(_text(df, "price_original_currency")),
+            "_code2": P.currency_code(_text(df, "price_currency")),
+        }
+    )
+    df = df.withColumns(
+        {
+            "_text": F.when(F.col("_original") != "", F.col("_original")).otherwise(F.col("_current")),
+            "_code": F.when(F.col("_code") != "", F.col("_code")).otherwise(F.col("_code2")),
+        }
     )
-    currency = X.first_filled(P.source_currency(text, code), P.source_currency(current))
     value = F.coalesce(
         P.coerce_number(_text(df, "price_original_value")),
-        P.coerce_number(text),
+        P.number_in(F.col("_text")),
         P.coerce_number(_text(df, "price_value")),
-        P.coerce_number(current),
+        P.number_in(F.col("_current")),
     )
-    return text, currency, value
+    df = df.withColumns({"_currency": P.currency_of(F.col("_text"), F.col("_code")), "_value": value})
+    return df.drop("_original", "_current", "_code", "_code2")
 
 
 def normalize_prices(df: DataFrame, rates, canonical: str = P.CANONICAL) -> DataFrame:
@@ -42,36 +55,57 @@ def normalize_prices(df: DataFrame, rates, canonical: str = P.CANONICAL) -> Data
     """
     canonical = canonical if canonical in P.CURRENCIES else P.CANONICAL
     rates = P.rates_column(rates)
-    text, currency, value = price_source(df)
-    df = df.withColumns({"_text": text, "_currency": currency, "_value": value})
     target = F.lit(canonical)
-    df = df.withColumn("_converted", P.convert("_value", X.first_filled("_currency", target), target, rates))
-    done, has_text = F.col("_converted").isNotNull(), F.col("_text") != ""
     old = {c: _text(df, c) for c in PRICE_COLUMNS}
+    rest = [c for c in df.columns if c not in PRICE_COLUMNS]
+    staged = price_source(df.select(*rest, *[F.col(c) for c in PRICE_COLUMNS if c in df.columns]))
+    staged = staged.withColumn("_unit", F.when(F.col("_currency") != "", F.col("_currency")).otherwise(target))
+    staged = X.compute_once(
+        staged, {"_converted": P.convert_known(F.col("_value"), F.col("_unit"), target, rates),
+                 **{c: F.col(c) for c in ("_text", "_currency", "_value")}}
+    )
+    done, has_text = F.col("_converted").isNotNull(), F.col("_text") != ""
     old_value = P.coerce_number(old["price_value"])
 
-    def when_filled(new: Column, name: str) -> Column:
-        return X.first_filled(new, old[name])
-
-    out = df.withColumns(
+    def filled(new: str, name: str) -> Column:
+        return F.when(F.col(new) != "", F.col(new)).otherwise(X.or_empty(old[name]))
+
+    out = {
+        "price_original": filled("_text", "price_original"),
+        "price_original_currency": filled("_currency", "price_original_currency"),
+        "price_original_value": F.coalesce(F.round("_value", 6), P.coerce_number(old["price_original_value"])),
+        "price": F.when(done, P.format_price("_converted", target))
+        .when(has_text, F.col("_text"))
+        .otherwise(X.or_empty(old["price"])),
+        "price_currency": F.when(done, target)
+        .when(has_text, filled("_currency", "price_currency"))
+        .otherwise(X.or_empty(old["price_currency"])),
+        "price_value": F.when(done, F.round("_converted", 6))
+        .when(has_text, F.coalesce(F.round("_value", 6), old_value))
+        .otherwise(old_value),
+        "price_exchange_source": X.first_filled(rates["source"], old["price_exchange_source"]),
+        "price_exchange_date": X.first_filled(rates["source_date"], old["price_exchange_date"]),
+    }
+    return X.compute_once(staged, out).drop("_text", "_currency", "_value", "_unit", "_converted")
+
+
+def display_prices(df: DataFrame, rates, currency: str = P.CANONICAL, base: str = P.CANONICAL,
+                   text: str = "price_text") -> DataFrame:
+    """Add ``primary`` (price in the chosen currency) and ``secondary`` (the other ones, and
+    the original text where it differs)."""
+    amounts = {f"_{c}": P.convert_known(F.col("price_value").cast("double"), F.lit(base), F.lit(c), rates) for c in P.CURRENCIES}
+    df = X.compute_once(df, amounts)
+    others = [P.display_amount(f"_{c}", c) for c in P.CURRENCIES if c != currency]
+    if "price_original_text" in df.columns:
+        original = F.col("price_original_text")
+        others.append(F.when((original != "") & (original != F.col(text)), F.concat(F.lit("Original "), original)))
+    priced = F.col("price_value").isNotNull()
+    return df.withColumns(
         {
-            "price_original": when_filled(F.col("_text"), "price_original"),
-            "price_original_currency": when_filled(F.col("_currency"), "price_original_currency"),
-            "price_original_value": F.coalesce(F.round("_value", 6), P.coerce_number(old["price_original_value"])),
-            "price": F.when(done, P.format_price("_converted", target))
-            .when(has_text, F.col("_text"))
-            .otherwise(X.or_empty(old["price"])),
-            "price_currency": F.when(done, target)
-            .when(has_text, when_filled(F.col("_currency"), "price_currency"))
-            .otherwise(X.or_empty(old["price_currency"])),
-            "price_value": F.when(done, F.round("_converted", 6))
-            .when(has_text, F.coalesce(F.round("_value", 6), old_value))
-            .otherwise(old_value),
-            "price_exchange_source": when_filled(X.clean_text(rates["source"]), "price_exchange_source"),
-            "price_exchange_date": when_filled(X.clean_text(rates["source_date"]), "price_exchange_date"),
+            "primary": F.coalesce(P.display_amount(f"_{currency}", currency), X.first_filled(text, F.lit("No price"))),
+            "secondary": F.when(priced, F.concat_ws(" · ", *others)).otherwise(F.lit("")),
         }
-    )
-    return out.drop("_text", "_currency", "_value", "_converted")
+    ).drop(*amounts)
 
 
 def rescale_prices(df: DataFrame, shops: list[str], factor: float = 100.0) -> DataFrame:
@@ -130,14 +164,16 @@ def prices_from_pages(targets: DataFrame, pages: DataFrame) -> tuple[DataFrame,
 
     ``pages`` has ``key, text``.
     """
-    found = targets.join(pages.select("key", "text"), "key", "left").withColumn(
-        "_p", P.price_from_text("text", "title")
-    )
+    joined = targets.join(pages.select("key", "text"), "key", "left")
+    joined = X.compute_once(joined, {"_body": X.clean_text("text"), "_title": X.clean_text("title")})
+    found = X.compute_once(joined, {"_price": P.price_near(F.col("_body"), F.col("_title"))})
+    found = X.compute_once(found, {"_value": P.number_in(F.col("_price"))})
     text = F.concat(
-        F.lit("￥"), F.regexp_replace(F.regexp_replace(F.format_string("%.6f", "_p.value"), "0+$", ""), r"\.$", "")
+        F.lit("￥"), F.regexp_replace(F.regexp_replace(F.format_string("%.6f", "_value"), "0+$", ""), r"\.$", "")
     )
-    prices = found.filter(F.col("_p").isNotNull()).select("key", text.alias("price"), F.col("_p.value").alias("value"))
-    failures = found.filter(F.col("_p").isNull()).select("key", F.lit("No yuan product price found.").alias("error"))
+    good = F.coalesce(F.col("_value") > 0, F.lit(False))
+    prices = found.filter(good).select("key", text.alias("price"), F.col("_value").alias("value"))
+    failures = found.filter(~good).select("key", F.lit("No yuan product price found.").alias("error"))
     return prices, failures
 
 

@@ -127,8 +127,7 @@ def canonical_prices(spark, sf):
 
 def price_display(spark, sf):
     df = prices.normalize_prices(fx.raw_listings(spark, sf), fx.RATES)
-    primary, secondary = P.display_price("price_value", "price", "usd", fx.RATES)
-    return df.select("offer_id", "shop", primary.alias("primary"), secondary.alias("secondary"))
+    return prices.display_prices(df, fx.RATES, "usd", text="price").select("offer_id", "shop", "primary", "secondary")
 
 
 def rescaled_prices(spark, sf):
@@ -488,8 +487,9 @@ def image_hashes(spark, sf):
 
 def signature_neighbours(spark, sf):
     s = _signature(fx.vectors(spark, sf))
-    q = s.agg(F.min_by(F.struct("hash", "hist", "ratio"), "id").alias("q")).scalar()
-    score = I.signature_similarity("hash", "hist", "ratio", q["hash"], q["hist"], q["ratio"])
+    first = s.agg(F.min_by(F.struct("hash", "hist", "ratio"), "id").alias("q")).scalar()
+    s = X.compute_once(s, {"q": first})
+    score = I.signature_similarity("hash", "hist", "ratio", "q.hash", "q.hist", "q.ratio")
     return s.select("id", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "id").limit(20)
 
 

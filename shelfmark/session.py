@@ -20,6 +20,8 @@ def get_session(name: str = "shelfmark", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Call sites of column expressions cost more than the expressions.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Narrow batches for vectors and pages: a batch is held in memory by a Python worker.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
         "spark.ui.enabled": "false" if master and master.startswith("local") else "true",
