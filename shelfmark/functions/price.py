@@ -120,6 +120,16 @@ def convert_known(v: Column, src: Column, dst: Column, rates) -> Column:
     return F.when((src == dst) & (src != ""), v).otherwise(v * per_cad(src, r) / per_cad(dst, r))
 
 
+def fixed(v: Column, digits: int) -> Column:
+    """Fixed decimals with grouping. This formatter rounds the exact binary value, as
+    Python and C do; ``format_string`` rounds the shortest decimal text instead."""
+    return F.format_number(v, digits)
+
+
+def fixed_plain(v: Column, digits: int) -> Column:
+    return F.replace(fixed(v, digits), F.lit(","), F.lit(""))
+
+
 def _trim_decimals(text: Column, keep: int) -> Column:
     """Cut trailing zeros but leave ``keep`` decimals."""
     return F.regexp_replace(text, rf"(\.\d{{{keep}}}\d*?)0+$", "$1")
@@ -132,7 +142,7 @@ def format_price(value: Column | str, code: Column | str) -> Column:
         F.lit(PREFIX["cny"])
     )
     v = col(value)
-    return F.when(v.isNotNull(), F.concat(prefix, _trim_decimals(F.format_string("%.4f", v), 2)))
+    return F.when(v.isNotNull(), F.concat(prefix, _trim_decimals(fixed_plain(v, 4), 2)))
 
 
 def display_amount(value: Column | str, currency: str) -> Column:
@@ -140,8 +150,8 @@ def display_amount(value: Column | str, currency: str) -> Column:
     v = col(value)
     size = F.abs(v)
     tiny = (size > 0) & (size < 0.01)
-    shown = F.when(tiny, _trim_decimals(F.format_string("%,.6f", size), 3)).otherwise(
-        _trim_decimals(F.format_string("%,.4f", size), 2)
+    shown = F.when(tiny, _trim_decimals(fixed(size, 6), 3)).otherwise(
+        _trim_decimals(fixed(size, 4), 2)
     )
     sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
     return F.when(v.isNotNull(), F.concat(sign, F.lit(DISPLAY_SIGN[currency]), shown))
@@ -181,7 +191,7 @@ def rescale_text(c: Column | str, factor: float = 100.0) -> Column:
     number = F.nullif(F.regexp_extract(text, whole, 2), F.lit("")).try_cast("double")
     scaled = F.concat(
         F.regexp_extract(text, whole, 1),
-        F.format_string("%.2f", number / factor),
+        fixed_plain(number / factor, 2),
         F.regexp_extract(text, whole, 3),
     )
     return F.when(number.isNotNull(), scaled).otherwise(text)

@@ -25,7 +25,7 @@ def alias_picker(df: DataFrame):
         if in_map:
             return X.first_filled(*[F.try_element_at("fields", F.lit(s)) for s in spellings(name)])
         found = [F.col(f"`{s}`").cast("string") for s in spellings(name) if s in df.columns]
-        return X.first_filled(*found) if found else F.lit("")
+        return F.lit("") if not found else X.or_empty(found[0]) if len(found) == 1 else X.first_filled(*found)
 
     return pick
 
@@ -107,13 +107,14 @@ def normalize_listings(raw: DataFrame, agent: str = "agent") -> DataFrame:
 
 def index_listings(listings: DataFrame) -> DataFrame:
     """Add the search columns (named with a leading underscore)."""
-    clean = {c: X.clean_text(c) for c in ("title", "shop", "offer_id", "price_text", "sales", "source_url")}
+    # Normalising squeezes white space anyway, so the parts need no cleaning of their own.
+    parts = [X.or_empty(c) for c in ("title", "shop", "offer_id", "price_text", "sales", "source_url")]
     texts = {
-        "_raw_title": F.lower(clean["title"]),
-        "_title": X.normalize_search(clean["title"]),
-        "_shop": X.normalize_search(clean["shop"]),
-        "_offer": X.normalize_search(clean["offer_id"]),
-        "_blob": X.normalize_search(F.concat_ws(" ", *clean.values())),
+        "_raw_title": F.lower(X.clean_text("title")),
+        "_title": X.normalize_search("title"),
+        "_shop": X.normalize_search("shop"),
+        "_offer": X.normalize_search("offer_id"),
+        "_blob": X.normalize_search(F.concat_ws(" ", *parts)),
     }
     return X.compute_once(listings, texts).withColumns(
         {

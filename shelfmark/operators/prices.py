@@ -169,7 +169,7 @@ def prices_from_pages(targets: DataFrame, pages: DataFrame) -> tuple[DataFrame,
     found = X.compute_once(joined, {"_price": P.price_near(F.col("_body"), F.col("_title"))})
     found = X.compute_once(found, {"_value": P.number_in(F.col("_price"))})
     text = F.concat(
-        F.lit("￥"), F.regexp_replace(F.regexp_replace(F.format_string("%.6f", "_value"), "0+$", ""), r"\.$", "")
+        F.lit("￥"), F.regexp_replace(F.regexp_replace(P.fixed_plain(F.col("_value"), 6), "0+$", ""), r"\.$", "")
     )
     good = F.coalesce(F.col("_value") > 0, F.lit(False))
     prices = found.filter(good).select("key", text.alias("price"), F.col("_value").alias("value"))

@@ -271,7 +271,7 @@ def best_shop_name(spark, sf):
 
 
 def image_stats(spark, sf):
-    return catalog.image_stats(fx.listings(spark, sf), failed=F.col("image_path") == "")
+    return catalog.image_stats(fx.listings(spark, sf), saved=L.has_image(), failed=~L.has_image())
 
 
 def resolved_images(spark, sf):
@@ -543,9 +543,9 @@ def synonym_terms(spark, sf):
     return words.select("term", F.explode(F.coalesce(F.try_element_at(table, F.col("term")), F.array("term"))).alias("alt"))
 
 
-def _ranked(text: str, score, synonyms: bool = False):
+def _ranked(text: str, score):
     def run(spark, sf):
-        found = scoring.rank_rich(fx.rich_index(spark, sf), compile_clauses(text), score, synonyms=synonyms)
+        found = scoring.rank_rich(fx.rich_index(spark, sf), compile_clauses(text), score)
         return found.select("offer_id", "shop", F.round("score", 4).alias("score"), "exact_terms", "matched_terms", "title_terms", "smart_guess")
 
     return run
@@ -639,7 +639,7 @@ QUERIES = {
     "candidate_rows": candidate_rows,
     "strict_search": _ranked('small ring OR "hot gear" -promo', scoring.strict_score),
     "smart_search": _ranked("smal widgit OR blue bolt", scoring.smart_score),
-    "title_index_search": _ranked("large plate brass", scoring.title_index_score, synonyms=True),
+    "title_index_search": _ranked("large plate brass", scoring.title_index_score),
     "related_part_search": _ranked("PN120X7", scoring.related_parts),
     "text_relevance": _ranked('"old bolt" economy', scoring.text_relevance),
 }

@@ -116,28 +116,26 @@ def sort_keys(sort: str, get=F.col) -> list[tuple[Column, bool]]:
     ``get`` turns a column name into a value, so the same keys can be made for one known
     row. Rows that tie keep the order of the stored index.
     """
-    shop, title = F.lower(X.clean_text(get("shop"))), F.lower(X.clean_text(get("title")))
-    price = get("price_value")
-    first = {
-        "price-asc": [(F.coalesce(price, F.lit(NO_PRICE_LAST)), False), (title, False)],
-        "price-desc": [(F.coalesce(price, F.lit(NO_PRICE_LOW)), True), (title, False)],
-        "title": [(title, False)],
-        "shop": [(shop, False), (title, False)],
-    }.get(sort, [(get("score"), True), (shop, False), (title, False)])
-    stored = [
-        F.lower(get("shop")),
-        F.lower(get("title")),
-        price.isNull(),
-        F.coalesce(price, F.lit(0.0)),
-        F.lower(get("source_file")),
-        get("source_file"),
-        get("row_number"),
-    ]
-    return first + [(k, False) for k in stored]
-
-
-def sort_columns(sort: str) -> list[Column]:
-    return [k.desc() if down else k.asc() for k, down in sort_keys(sort)]
+    shop, title, price = F.lower(get("shop")), F.lower(get("title")), get("price_value")
+    stored = [shop, title, price.isNull(), F.coalesce(price, F.lit(0.0)), F.lower(get("source_file")),
+              get("source_file"), get("row_number")]
+    first, rest = {
+        "price-asc": ([(F.coalesce(price, F.lit(NO_PRICE_LAST)), False), (title, False)], stored),
+        "price-desc": ([(F.coalesce(price, F.lit(NO_PRICE_LOW)), True), (title, False)], stored),
+        "title": ([(title, False)], stored),
+        "shop": ([], stored),
+    }.get(sort, ([(get("score"), True)], stored))
+    return first + [(k, False) for k in rest]
+
+
+def keyed(df: DataFrame, sort: str) -> tuple[DataFrame, list[Column]]:
+    """Rows with their sort keys as columns, and the order over them.
+
+    A sort evaluates its expressions at every comparison, so they are computed before.
+    """
+    keys = sort_keys(sort)
+    df = df.withColumns({f"_k{n}": k for n, (k, _) in enumerate(keys)})
+    return df, [F.col(f"_k{n}").desc() if down else F.col(f"_k{n}") for n, (_, down) in enumerate(keys)]
 
 
 def matches(index: DataFrame, request: Request) -> DataFrame:
@@ -159,13 +157,13 @@ def search(index: DataFrame, request: Request, with_total: bool = True) -> DataF
     """
     found = matches(index, request)
     start, size = request.page()
-    order = sort_columns(request.sort)
-    page = paginate(found.orderBy(*order), start, size)
+    rows, order = keyed(found, request.sort)
+    page = paginate(rows.orderBy(*order), start, size)
     # At most 1000 rows are left to number here.
     page = page.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) + start)
     if with_total:
         page = page.withColumn("total", found.agg(F.count("*").alias("n")).scalar())
-    return page
+    return page.drop(*[c for c in page.columns if c.startswith("_k")])
 
 
 def next_page(request: Request, shown: int) -> Request:
@@ -185,7 +183,8 @@ def after(index: DataFrame, request: Request, last: dict) -> DataFrame:
     for (key, down), (value, _) in zip(sort_keys(request.sort), here):
         behind = behind | (same & (key < value if down else key > value))
         same = same & (key == value)
-    return found.filter(behind).orderBy(*sort_columns(request.sort)).limit(request.page()[1])
+    rows, order = keyed(found.filter(behind), request.sort)
+    return rows.orderBy(*order).limit(request.page()[1]).select(*found.columns)
 
 
 def search_batch(index: DataFrame, requests: dict[str, Request]) -> DataFrame:
@@ -214,8 +213,8 @@ def _batch(index: DataFrame, requests: dict[str, Request]) -> DataFrame:
     for name, r in requests.items():
         by_sort.setdefault(r.sort, []).append(name)
     for sort, names in by_sort.items():
-        part = found.filter(F.col("request_id").isin(names))
-        rank = F.row_number().over(Window.partitionBy("request_id").orderBy(*sort_columns(sort)))
+        part, order = keyed(found.filter(F.col("request_id").isin(names)), sort)
+        rank = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
         last = max(sum(requests[n].page()) for n in names)
         # The constant bound lets Spark cut each task to its best rows before the shuffle.
         part = part.withColumn("rank", rank).filter(F.col("rank") <= last)
@@ -226,7 +225,7 @@ def _batch(index: DataFrame, requests: dict[str, Request]) -> DataFrame:
                 for n in names
             ]
         )
-        pages.append(part.filter(wanted))
+        pages.append(part.filter(wanted).select(*found.columns, "rank"))
     return reduce(DataFrame.unionByName, pages).join(totals, "request_id")
 
 
