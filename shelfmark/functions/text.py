@@ -10,7 +10,11 @@ from pyspark.sql import Column, functions as F, types as T
 # White space as the source data's producers collapse it: every Unicode space, no-break
 # and ideographic spaces included, plus the ASCII separators 1C-1F. Spelled out because
 # the regex engine's Unicode mode is several times slower.
-_SPACES = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_ODD = r"\t-\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Runs that are not a single plain space already. Tidy text has none, which costs a scan
+# but no copy.
+_SPACES = f"[{_ODD}][ {_ODD}]*| [ {_ODD}]+"
+_ANY_SPACE = f"[ {_ODD}]+"
 
 
 def col(c: Column | str) -> Column:
@@ -35,8 +39,18 @@ def compute_once(df, columns: dict[str, Column]):
 
 
 def clean_text(c: Column | str) -> Column:
-    """Collapse white space runs, trim, and turn NULL into the empty string."""
-    return F.trim(F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), _SPACES, " "))
+    """Collapse white space runs, trim, and turn NULL into the empty string.
+
+    For a named column two cheap tests find out whether there is anything to collapse;
+    tidy ASCII text then skips the pattern. An expression is not tested, since that would
+    evaluate it several times.
+    """
+    text = F.coalesce(col(c).cast("string"), F.lit(""))
+    collapsed = F.regexp_replace(text, _SPACES, " ")
+    if isinstance(c, str):
+        untidy = F.contains(text, F.lit("  ")) | text.rlike("[^ -~]")
+        collapsed = F.when(untidy, collapsed).otherwise(text)
+    return F.trim(collapsed)
 
 
 def or_empty(c: Column | str) -> Column:
@@ -152,7 +166,7 @@ def safe_name(c: Column | str, profile: str = "queue", fallback: str | None = No
         fallback = "shop" if fallback is None else fallback
     elif profile in ("saved_page", "live_page"):
         text = F.regexp_replace(text, r'[\\/:*?"<>|]', "_")
-        text = F.regexp_replace(F.regexp_replace(text, _SPACES, "_"), "_+", "_")
+        text = F.regexp_replace(F.regexp_replace(text, _ANY_SPACE, "_"), "_+", "_")
         if profile == "saved_page":
             text = F.regexp_replace(text, "^_+|_+$", "")
         text = F.substring(text, 1, 80)

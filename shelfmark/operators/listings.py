@@ -37,25 +37,29 @@ def normalize_listings(raw: DataFrame, agent: str = "agent") -> DataFrame:
     offer id and a stable id, and drops rows without any title, URL or image.
     """
     pick = alias_picker(raw)
-    staged = raw.select(
+    names = ["title", "price", "price_currency", "price_value", "price_original", "price_original_currency",
+             "price_original_value", "sales", f"{agent}_url", "source_url", "source_1688_url", "image_url",
+             "image_file", "zip_path", "offer_id"]
+    picked = raw.select("shop", "source_file", "row_number", *[pick(n).alias(f"_{n}") for n in names])
+    staged = picked.select(
         "shop",
         "source_file",
         "row_number",
-        X.clean_text(pick("title")).alias("title0"),
-        X.clean_text(pick("price")).alias("price_text"),
-        P.currency_code(pick("price_currency")).alias("currency0"),
-        P.coerce_number(pick("price_value")).alias("value0"),
-        X.clean_text(pick("price_original")).alias("original0"),
-        P.currency_code(pick("price_original_currency")).alias("original_currency0"),
-        P.coerce_number(pick("price_original_value")).alias("original_value0"),
-        X.clean_text(pick("sales")).alias("sales"),
-        X.clean_text(pick(f"{agent}_url")).alias("agent_url"),
-        X.clean_text(pick("source_url")).alias("source0"),
-        X.clean_text(pick("source_1688_url")).alias("alternate0"),
-        X.clean_text(pick("image_url")).alias("image_url"),
-        X.clean_text(pick("image_file")).alias("image_file"),
-        X.clean_text(pick("zip_path")).alias("zip_path"),
-        X.clean_text(pick("offer_id")).alias("offer0"),
+        X.clean_text("_title").alias("title0"),
+        X.clean_text("_price").alias("price_text"),
+        P.currency_code("_price_currency").alias("currency0"),
+        P.coerce_number("_price_value").alias("value0"),
+        X.clean_text("_price_original").alias("original0"),
+        P.currency_code("_price_original_currency").alias("original_currency0"),
+        P.coerce_number("_price_original_value").alias("original_value0"),
+        X.clean_text("_sales").alias("sales"),
+        X.clean_text(f"_{agent}_url").alias("agent_url"),
+        X.clean_text("_source_url").alias("source0"),
+        X.clean_text("_source_1688_url").alias("alternate0"),
+        X.clean_text("_image_url").alias("image_url"),
+        X.clean_text("_image_file").alias("image_file"),
+        X.clean_text("_zip_path").alias("zip_path"),
+        X.clean_text("_offer_id").alias("offer0"),
     )
     filled = F.concat("title0", "agent_url", "source0", "alternate0", "image_url", "image_file") != ""
     staged = staged.filter(filled).withColumns(
@@ -106,18 +110,20 @@ def normalize_listings(raw: DataFrame, agent: str = "agent") -> DataFrame:
 
 
 def index_listings(listings: DataFrame) -> DataFrame:
-    """Add the search columns (named with a leading underscore)."""
-    # Normalising squeezes white space anyway, so the parts need no cleaning of their own.
-    parts = [X.or_empty(c) for c in ("title", "shop", "offer_id", "price_text", "sales", "source_url")]
-    texts = {
-        "_raw_title": F.lower(X.clean_text("title")),
-        "_title": X.normalize_search("title"),
-        "_shop": X.normalize_search("shop"),
-        "_offer": X.normalize_search("offer_id"),
-        "_blob": X.normalize_search(F.concat_ws(" ", *parts)),
-    }
-    return X.compute_once(listings, texts).withColumns(
+    """Add the search columns (named with a leading underscore) to normalised listings.
+
+    The blob's title, shop and offer id are taken over as they are normalised already; the
+    remaining parts are normalised in one go.
+    """
+    df = X.compute_once(
+        listings,
+        {"_title": X.normalize_search("title"), "_offer": X.normalize_search("offer_id"), "_shop": X.normalize_search("shop")},
+    )
+    tail = X.normalize_search(F.concat_ws(" ", *[X.or_empty(c) for c in ("price_text", "sales", "source_url")]))
+    parts = [F.nullif(c, F.lit("")) for c in (F.col("_title"), F.col("_shop"), F.col("_offer"), tail)]
+    return X.compute_once(df, {"_blob": F.concat_ws(" ", *parts)}).withColumns(
         {
+            "_raw_title": F.lower("title"),
             "_title_compact": X.compact("_title"),
             "_offer_compact": X.compact("_offer"),
             "_compact": X.compact("_blob"),
