@@ -69,8 +69,8 @@ def _blocks(vectors: DataFrame, queries: DataFrame, n_vectors: int, n_queries: i
     nv, nq = -(-n_vectors // VECTOR_BLOCK), -(-n_queries // QUERY_BLOCK)
     v = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(nv)).alias("vb"))
     q = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("qb"))
-    v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long"))
-    q = q.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).cast("long"))
+    v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<long>")))
+    q = q.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)).cast("array<long>")))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -28,9 +28,10 @@ def load_sources(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame,
         read_listing_csv(spark, root).join(owner, "source_file"),
         books.filter(F.col("error").isNull()).drop("error"),
     )
-    errors = manifests.filter(F.col("_corrupt_record").isNotNull()).select(
-        "source_file", F.lit("not a JSON manifest").alias("error")
-    )
+    # Spark answers no query that reads the corrupt-record column alone, so the text says
+    # what was left of the file.
+    kind = F.when(F.size("rows") > 0, F.lit("damaged JSON manifest")).otherwise(F.lit("not a JSON manifest"))
+    errors = manifests.filter(F.col("_corrupt_record").isNotNull()).select("source_file", kind.alias("error"))
     return rows, errors.unionByName(books.filter(F.col("error").isNotNull()).select("source_file", "error")), good
 
 

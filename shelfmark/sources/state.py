@@ -28,12 +28,12 @@ def rows_json(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(name))
 
 
-def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_state(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """A state document; an absent or unreadable one gives no rows."""
     try:
         df = (
             spark.read.schema(schema + ", _corrupt_record string")
-            .option("multiLine", True)
+            .option("multiLine", multi_line)
             .option("columnNameOfCorruptRecord", "_corrupt_record")
             .json(path)
         )
@@ -54,7 +54,7 @@ def read_prefs(spark: SparkSession, path: str) -> DataFrame:
 
 def load_prefs(spark: SparkSession, path: str) -> DataFrame:
     """Preferences stored as rows."""
-    return read_state(spark, path, "shop string, kind string")
+    return read_state(spark, path, "shop string, kind string", multi_line=False)
 
 
 def read_queue(spark: SparkSession, path: str, restarted: bool = True) -> DataFrame:
