@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.images import resolve_images
-from ..operators.listings import index_listings, normalize_listings, union_sources
-from ..operators.prices import normalize_prices
+from ..operators.listings import alias_picker, index_listings, normalize_listings, union_sources
+from ..operators.prices import PRICE_COLUMNS, normalize_prices
 from ..sources.files import apply_precedence, discover_sources, read_image_inventory
 from ..sources.manifest import manifest_rows, read_manifest_files
 from ..sources.sinks import save_index
@@ -49,9 +49,10 @@ def publish_index(spark: SparkSession, root: str, path: str) -> int:
 
 
 def normalize_all(spark: SparkSession, root: str, rates, fields: list[str]) -> DataFrame:
-    """All stored rows with prices in the common currency; ``fields`` are the columns to keep."""
+    """All stored rows with prices in the common currency; ``fields`` are the listing columns
+    to keep, found under either spelling of their header."""
     rows, _, _ = load_sources(spark, root)
-    flat = rows.select(
-        "source_file", "shop", "kind", "row_number", *[F.try_element_at("fields", F.lit(f)).alias(f) for f in fields]
-    )
+    pick = alias_picker(rows)
+    names = list(dict.fromkeys([*fields, *PRICE_COLUMNS]))
+    flat = rows.select("source_file", "shop", "kind", "row_number", *[pick(f).alias(f) for f in names])
     return normalize_prices(flat, rates)

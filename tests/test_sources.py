@@ -81,7 +81,7 @@ def test_load_and_build(spark, root):
     assert set(listings) == {"one", "two", 'line break "q"', "short", "long", "four", "five", "six", "free"}
     assert listings["one"]["image_path"] == "Alpha/images/a.jpg" and listings["one"]["price_value"] == 2.0
     assert listings["two"]["offer_id"] == "22" and listings["two"]["price_value"] == 0.0
-    priced = normalize_all(spark, root, Rates(1.4, 0.2), ["title", "Title", "price", "Price"])
+    priced = normalize_all(spark, root, Rates(1.4, 0.2), ["title", "offer_id"])
     assert {r["price_value"] for r in priced.filter("title = 'four'").collect()} == {4.0}
     assert manifest.manifest_info(manifests).first()["shop_key"] == "shops:a"
 
