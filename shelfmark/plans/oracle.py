@@ -393,4 +393,13 @@ ORACLE = {
         SELECT offer_id, shop, greatest(one, two) AS score, CASE WHEN one IS NULL THEN 0 ELSE 2 END AS exact_terms,
           CASE WHEN one IS NULL THEN 1 ELSE 2 END AS matched_terms, CASE WHEN one IS NULL THEN 1 ELSE 2 END AS title_terms, false AS smart_guess
         FROM m WHERE one IS NOT NULL OR two IS NOT NULL""",
+    "resolved_images": f"""WITH {LST}, f AS (SELECT l_partkey, s_name, bool_or(l_returnflag = 'A') AS a, bool_or(l_returnflag = 'R') AS r
+          FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2)
+        SELECT shop, count(*) FILTER (WHERE image_path <> '' AND (a OR r)) AS found, count(*) FILTER (WHERE image_path <> '' AND a) AS in_folder,
+          count(*) AS listings FROM lst LEFT JOIN f ON l_partkey = part AND s_name = shop GROUP BY shop""",
+    "candidate_rows": f"""WITH {INDEX}, w AS (SELECT list_contains(string_split(t, ' '), 'small')::INTEGER + list_contains(string_split(t, ' '), 'widget')::INTEGER AS n FROM ix)
+        SELECT CAST(n AS DOUBLE) AS seed, count(*) AS listings FROM w WHERE n > 0 GROUP BY n""",
+    "extract_page_cards": """SELECT page_id, CAST(pos AS INTEGER) AS pos, href, title FROM (SELECT page_id, generate_subscripts(h, 1) AS pos, unnest(h) AS href,
+            unnest(t) AS title FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h,
+              regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages) x) y""",
 }

@@ -275,17 +275,18 @@ def image_stats(spark, sf):
 
 
 def resolved_images(spark, sf):
-    """Listings matched with an inventory of files that exist for every second brand."""
+    """Listings matched with image files: accepted orders left theirs in the shop's image
+    folder, returned ones in the shop's own."""
     rows = L.normalize_listings(fx.raw_listings(spark, sf))
-    part = fx.table(spark, sf, "part").filter(F.col("p_type") != "PROMO")
-    shops = fx.table(spark, sf, "supplier").filter(F.col("s_acctbal") > 1000)
-    folders = shops.select(F.explode(F.array(F.concat("s_name", F.lit("/images")), F.col("s_name"))).alias("folder"))
-    names = part.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("name"), (F.col("p_partkey") % 1000).alias("slot"))
-    # Each part's file lies in the folders of a few shops.
-    placed = names.join(folders.withColumn("slot", F.pmod(F.crc32(F.encode("folder", "UTF-8")), F.lit(1000))), "slot")
-    inventory = placed.select(F.concat("folder", F.lit("/"), "name").alias("path"))
+    items = fx.table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin("A", "R"))
+    named = items.join(fx.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    folder = F.when(F.col("l_returnflag") == "A", F.concat("s_name", F.lit("/images/"))).otherwise(F.concat("s_name", F.lit("/")))
+    inventory = named.select(F.concat(folder, F.col("l_partkey").cast("string"), F.lit(".jpg")).alias("path"))
     out = resolve_images(rows, inventory)
-    return out.groupBy("shop").agg(F.count_if(F.col("image_path") != "").alias("found"), F.count("*").alias("listings"))
+    in_folder = F.contains("image_path", F.lit("/images/"))
+    return out.groupBy("shop").agg(
+        F.count_if(F.col("image_path") != "").alias("found"), F.count_if(in_folder).alias("in_folder"), F.count("*").alias("listings")
+    )
 
 
 # ---------------------------------------------------------------- crawl and queue
