@@ -208,25 +208,29 @@ def _batch(index: DataFrame, requests: dict[str, Request]) -> DataFrame:
     found = found.withColumns({"request_id": F.col("_hit.request_id"), "score": F.col("_hit.score")})
     found = found.drop("_hit", *scores)
     totals = found.groupBy("request_id").agg(F.count("*").alias("total"))
-    pages = []
-    by_sort: dict[str, list[str]] = {}
+    # All orders are a number, then a text, then the stored order, so one ranking serves
+    # requests with different sorts.
+    number, text = F.lit(0.0), F.lit("")
     for name, r in requests.items():
-        by_sort.setdefault(r.sort, []).append(name)
-    for sort, names in by_sort.items():
-        part, order = keyed(found.filter(F.col("request_id").isin(names)), sort)
-        rank = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
-        last = max(sum(requests[n].page()) for n in names)
-        # The constant bound lets Spark cut each task to its best rows before the shuffle.
-        part = part.withColumn("rank", rank).filter(F.col("rank") <= last)
-        wanted = _any(
-            [
-                (F.col("request_id") == n) & (F.col("rank") > requests[n].page()[0])
-                & (F.col("rank") <= sum(requests[n].page()))
-                for n in names
-            ]
-        )
-        pages.append(part.filter(wanted).select(*found.columns, "rank"))
-    return reduce(DataFrame.unionByName, pages).join(totals, "request_id")
+        (first, down), *_ = sort_keys(r.sort)
+        mine = F.col("request_id") == name
+        if r.sort in ("price-asc", "price-desc") or r.sort not in SORTS or r.sort == "match":
+            number = F.when(mine, -first if down else first).otherwise(number)
+        if r.sort in ("price-asc", "price-desc", "title"):
+            text = F.when(mine, F.lower("title")).otherwise(text)
+    found, order = keyed(X.compute_once(found, {"_n": number, "_t": text}), "shop")
+    rank = F.row_number().over(Window.partitionBy("request_id").orderBy("_n", "_t", *order))
+    last = max(sum(r.page()) for r in requests.values())
+    # The constant bound lets Spark cut each task to its best rows before the shuffle.
+    ranked = found.withColumn("rank", rank).filter(F.col("rank") <= last)
+    wanted = _any(
+        [
+            (F.col("request_id") == n) & (F.col("rank") > r.page()[0]) & (F.col("rank") <= sum(r.page()))
+            for n, r in requests.items()
+        ]
+    )
+    page = ranked.filter(wanted).join(totals, "request_id")
+    return page.drop("_n", "_t", *[c for c in page.columns if c.startswith("_k")])
 
 
 def resolve_filters(controls: Request, text_filters: Filters, rates: P.Rates, currency: str = "cny",
