@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import binary_output, chat, packing, transducer
+from shelfmark.llm import binary_output, chat, licenses, packing, quality, transducer
 from shelfmark.llm.common import documents
 
 
@@ -34,6 +34,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("formatted_chars").cast("long"), F.col("rewritten").alias("rewritten_prefixes"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether decoding them gives the text again."""
     docs = documents(spark, sf_dir)
@@ -47,6 +55,8 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_binary_output": op1_binary_output,
     "op2_chat_format": op2_chat_format,
+    "op3_license_scan": op3_license_scan,
+    "op6_quality_rules": op6_quality_rules,
     "op7_pieces": op7_pieces,
     "op10_pack": op10_pack,
 }
