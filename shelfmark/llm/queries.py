@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import binary_output, chat, licenses, packing, quality, transducer
+from shelfmark.llm import binary_output, chat, licenses, packing, quality, sharding, transducer
 from shelfmark.llm.common import documents
 
 
@@ -38,6 +38,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(documents(spark, sf_dir), shards=sharding.SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -56,6 +62,7 @@ QUERIES = {
     "op1_binary_output": op1_binary_output,
     "op2_chat_format": op2_chat_format,
     "op3_license_scan": op3_license_scan,
+    "op4_shards": op4_shards,
     "op6_quality_rules": op6_quality_rules,
     "op7_pieces": op7_pieces,
     "op10_pack": op10_pack,
