@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import binary_output, chat, licenses, packing, quality, sharding, transducer
+from shelfmark.llm import binary_output, chat, fingerprints, licenses, packing, quality, sharding, transducer
 from shelfmark.llm.common import documents
 
 
@@ -44,6 +44,10 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_license_scan": op3_license_scan,
     "op4_shards": op4_shards,
+    "op5_fingerprints": op5_fingerprints,
     "op6_quality_rules": op6_quality_rules,
     "op7_pieces": op7_pieces,
     "op10_pack": op10_pack,
