@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import binary_output, chat, fingerprints, licenses, packing, quality, sharding, transducer
+from shelfmark.llm import binary_output, chat, fingerprints, licenses, near_dedup, packing, quality, sharding, transducer
 from shelfmark.llm.common import documents
 
 
@@ -58,6 +58,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encode_checked(docs)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -70,5 +74,6 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_quality_rules": op6_quality_rules,
     "op7_pieces": op7_pieces,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_pack": op10_pack,
 }
