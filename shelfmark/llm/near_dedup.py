@@ -92,7 +92,7 @@ def sketches(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTE
         block = max(1, min(256, POINTS // len(element)))
         number = np.arange(drawn + 1, drawn + 1 + block, dtype=np.uint64)
         seeds = mix(element[:, None] + number[None, :] * _GOLDEN)
-        gap = -np.log1p(-(seeds >> np.uint64(11)) * 2.0**-53) / rate[:, None]
+        gap = -np.log1p(-((seeds >> np.uint64(11)) * 2.0**-53)) / rate[:, None]
         at = time[:, None] + np.cumsum(gap, axis=1)
         slot = (owner * registers)[:, None] + (mix(seeds + _M1) % np.uint64(registers)).astype(np.int64)
         flat, when = slot.ravel(), at.ravel()
