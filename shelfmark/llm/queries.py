@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import binary_output, chat, fingerprints, licenses, near_dedup, packing, quality, sharding, transducer
+from shelfmark.llm import binary_output, chat, fingerprints, licenses, near_dedup, packing, pii, quality, sharding, transducer
 from shelfmark.llm.common import documents
 
 
@@ -62,6 +62,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.fit(docs))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -75,5 +80,6 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_pieces": op7_pieces,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_personal_data": op9_personal_data,
     "op10_pack": op10_pack,
 }
