@@ -220,7 +220,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     One row per row of ``docs``; repeated rows are members of their class. An empty table gives no rows.
     """
     rows = checkpoint(classes(docs, similarity))
-    named = _named(rows).select("root", F.col("first.doc_id").alias("class_id"), F.col("first.tag").alias("t"), "class_size")
+    # Written first, so that the join deals its sides anew and can split the rows of a large class.
+    named = checkpoint(_named(rows).select(
+        "root", F.col("first.doc_id").alias("class_id"), F.col("first.tag").alias("t"), "class_size"))
     return rows.join(named, "root").select("doc_id", "class_id", "class_size", (F.col("tag") == F.col("t")).alias("kept"))
 
 
