@@ -40,6 +40,8 @@ _NOT_DIGIT = re.compile("[^0-9]+")
 SAMPLE_DOCS, SAMPLE_CHARS = 500, 20_000
 EPOCHS, RATE, DECAY = 5, 0.3, 1e-4
 REACH, LONGEST, BINS = 40, 24, 4096
+#: No segment has one of these. Zones with more tokens than this are not trained on; they are decoded like all others.
+BREAKS, ZONE_TOKENS = frozenset(",;:!?\"'\n\r\t"), 300
 _TRIGGER = re.compile("[0-9@]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.DOTALL)
 
@@ -107,7 +109,7 @@ def candidates(text: str, low: int, high: int) -> tuple[list[int], list[tuple[in
     """Token borders of a zone, and its candidate segments as pairs of border numbers.
 
     A segment has at most ``LONGEST`` tokens and a digit or at-sign, begins and ends at a border of words, not at white
-    space, and has letters only if it has an at-sign.
+    space, has letters only if it has an at-sign, and none of ``BREAKS``.
     """
     tokens = [m.group() for m in _TOKEN.finditer(text, low, high)]
     borders = [low]
@@ -125,7 +127,7 @@ def candidates(text: str, low: int, high: int) -> tuple[list[int], list[tuple[in
             letters |= kind == "a"
             at_sign |= kind == "@"
             trigger |= kind in "9@"
-            if tokens[j] == "\n":
+            if tokens[j] in BREAKS:
                 break
             if trigger and kind in "9a" and open_at[j + 1] and (at_sign or not letters):
                 segments.append((i, j + 1))
@@ -297,7 +299,7 @@ def train(texts: Sequence[str], epochs: int = EPOCHS) -> Field:
             named = {(a, b): KINDS.index(kind) for kind, found in gold.items() for a, b in found}
             for low, high in zones(version):
                 borders, segments = candidates(version, low, high)
-                if not segments:
+                if not segments or len(borders) > ZONE_TOKENS:
                     continue
                 rows = [features(version, borders[i], borders[j]) for i, j in segments]
                 truth = [named.get((borders[i], borders[j]), -1) for i, j in segments]
