@@ -71,13 +71,18 @@ def partial_merge(obs: DataFrame, keys: list[str], seq: str = "seq", keep: tuple
     return obs.groupBy(*keys).agg(F.max_by(F.struct(*columns), seq).alias("_row"), *spare)
 
 
-def merge_partials(partials: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """Combine partial merges and finish the rows."""
+def combine_partials(partials: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+    """Combine partial merges to one of the same form, which can be combined with later ones."""
     spare = [c for c in partials.columns if c not in (*keys, "_row")]
-    merged = partials.groupBy(*keys).agg(
+    return partials.groupBy(*keys).agg(
         F.max_by("_row", F.col(f"_row.{seq}")).alias("_row"), *[F.max(c).alias(c) for c in spare]
     )
-    return _finish(merged, keys, spare)
+
+
+def merge_partials(partials: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+    """Combine partial merges and finish the rows."""
+    spare = [c for c in partials.columns if c not in (*keys, "_row")]
+    return _finish(combine_partials(partials, keys, seq), keys, spare)
 
 
 def _finish(merged: DataFrame, keys: list[str], spare: list[str]) -> DataFrame:
@@ -221,11 +226,15 @@ def run_summary(runs: DataFrame) -> DataFrame:
     )
 
 
-def categories(tabs: DataFrame, most: int = 200) -> DataFrame:
-    """Distinct category labels per shop in tab order, the first tab left out, at most 200."""
+def categories(tabs: DataFrame, most: int | None = None) -> DataFrame:
+    """Distinct category labels per shop with their ``place`` in tab order, the first tab left out.
+
+    With ``most``, only the first that many of each shop.
+    """
     first = tabs.groupBy("shop", "label").agg(F.min("pos").alias("pos")).filter(F.col("pos") > 0)
     place = F.row_number().over(Window.partitionBy("shop").orderBy("pos"))
-    return first.withColumn("place", place).filter(F.col("place") <= most)
+    placed = first.withColumn("place", place)
+    return placed if most is None else placed.filter(F.col("place") <= most)
 
 
 def usable(manifests: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Vector-only rows join the result up to this rank, unless the caller says otherwise.
 INCLUDE_RANK = 300
 MIN_SPREAD = 0.0001
 
@@ -27,15 +28,18 @@ def _zero(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0)).alias(name)
 
 
-def fuse_boost(text: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Text matches lifted by their vector score, plus strong vector-only rows.
+def fuse_boost(text: DataFrame, vectors: DataFrame, include_rank: int | None = INCLUDE_RANK) -> DataFrame:
+    """Text matches lifted by their vector score, plus vector-only rows that are strong and rank within ``include_rank``
+    (None: any rank).
 
     ``text`` has ``id, score, exact_terms, matched_terms, title_terms, smart_guess``.
     """
     v = scale(vectors).withColumn("boost", F.col("scaled") * 300 + F.col("rank_boost") * 60)
     both = text.join(v, "id", "full_outer")
     in_text = F.col("score").isNotNull()
-    strong = (F.col("rank") <= INCLUDE_RANK) & (F.col("scaled") >= 0.72)
+    strong = F.col("scaled") >= 0.72
+    if include_rank is not None:
+        strong = strong & (F.col("rank") <= include_rank)
     return both.filter(in_text | strong).select(
         "id",
         (F.coalesce("score", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))).alias("score"),

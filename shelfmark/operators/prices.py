@@ -180,34 +180,38 @@ def prices_from_pages(targets: DataFrame, pages: DataFrame) -> tuple[DataFrame,
 def apply_repairs(df: DataFrame, repairs: DataFrame, rates, agent: str = "agent") -> DataFrame:
     """Put repaired prices on the bad rows that have one, marked in ``repaired``.
 
-    The repair table is joined by key and its size decides how; only rows that are bad
-    carry a key, so good rows cannot pile up in one join partition.
+    One pass: a left join by key, then one price step whose input is empty for all other rows. Good rows get keys that
+    no repair has, spread by hash, so that they cannot pile up in one join partition.
     """
-    bad = is_bad_price(df)
-    base = df.withColumn("_key", F.when(bad, row_key(df, agent)))
+    present = [c for c in PRICE_COLUMNS if c in df.columns]
+    plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "array", "struct"))]
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*plain), F.lit(1 << 20)).cast("string"))
+    base = df.withColumns({**{f"_was_{c}": F.col(c) for c in present},
+                           "_key": F.coalesce(F.when(is_bad_price(df), row_key(df, agent)), spread)})
     fixes = repairs.select(
         F.col("key").alias("_key"), F.col("price").alias("_fix"), F.col("value").alias("_fix_value")
     )
-    # Rows that need nothing skip the join.
-    untouched = base.filter(F.col("_key").isNull()).drop("_key")
-    joined = base.filter(F.col("_key").isNotNull()).join(fixes, "_key", "left")
     hit = F.col("_fix").isNotNull()
+    joined = base.join(fixes, "_key", "left").withColumn("repaired", hit)
     patched = joined.withColumns(
         {
-            "repaired": hit,
-            "price_original": F.when(hit, F.col("_fix")).otherwise(_text(joined, "price_original")),
-            "price_original_currency": F.when(hit, F.lit("cny")).otherwise(_text(joined, "price_original_currency")),
-            "price_original_value": F.when(hit, F.col("_fix_value")).otherwise(
-                P.coerce_number(_text(joined, "price_original_value"))
-            ),
+            **{c: F.when(hit, F.col(c)) for c in present},
+            "price_original": F.col("_fix"),
+            "price_original_currency": F.when(hit, F.lit("cny")),
+            "price_original_value": F.col("_fix_value"),
         }
     )
-    fixed = normalize_prices(patched.filter("repaired"), rates)
-    rest = untouched.withColumn("repaired", F.lit(False)).unionByName(
-        patched.filter("NOT repaired"), allowMissingColumns=True
-    )
-    numbers = {c: P.coerce_number(F.col(c).cast("string")) for c in ("price_value", "price_original_value") if c in rest.columns}
-    return rest.withColumns(numbers).unionByName(fixed, allowMissingColumns=True).drop("_key", "_fix", "_fix_value")
+    numbers = ("price_value", "price_original_value")
+
+    def before(name: str) -> Column:
+        if name not in present:
+            return F.lit(None)
+        old = F.col(f"_was_{name}")
+        return P.coerce_number(old.cast("string")) if name in numbers else old
+
+    done = normalize_prices(patched, rates)
+    chosen = {c: F.when(F.col("repaired"), F.col(c)).otherwise(before(c)) for c in PRICE_COLUMNS}
+    return done.withColumns(chosen).drop("_key", "_fix", "_fix_value", *[f"_was_{c}" for c in present])
 
 
 def repair_report(targets: DataFrame, repaired: DataFrame, prices: DataFrame, failures: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
 
-SHOWN, SAVED = 40, 200
+SHOWN = 40
 
 
 def queue_state(events: DataFrame, restarted: bool = False) -> DataFrame:

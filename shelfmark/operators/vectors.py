@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import vector_key
 
-MAX_RESULTS = 2000
 # Query vectors sent to every task: at most this many numbers (32 MB as float64).
 BROADCAST_NUMBERS = 4_000_000
 # Result rows a task may hold: its best k for every query.
@@ -24,23 +23,39 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.asarray(column.tolist(), dtype=np.float64)
 
 
-def _top(query_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """Best ``k`` per query of a score matrix (queries x vectors), ties kept by id."""
-    parts = []
-    for qid, row in zip(query_ids, scores):
-        if len(row) > k:
-            cut = np.partition(row, len(row) - k)[len(row) - k]
-            keep = np.flatnonzero(row >= cut)
-        else:
-            keep = np.arange(len(row))
-        keep = keep[np.lexsort((ids[keep], -row[keep]))][:k]
-        parts.append(pd.DataFrame({"query_id": qid, "id": ids[keep], "score": row[keep]}))
-    return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "id": [], "score": []})
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` rows of each query out of long arrays, best first, ties by id."""
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    begins = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(begins, np.diff(np.r_[begins, len(query)]))
+    keep = place < k
+    return query[keep], ids[keep], score[keep]
+
+
+def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query number, id, score)`` of the best ``k`` per row of a score matrix (queries x vectors)."""
+    n = scores.shape[1]
+    if n > k:
+        cut = np.partition(scores, n - k, axis=1)[:, n - k, None]
+        rows, columns = np.nonzero(scores >= cut)  # ties at the border are settled by id
+    else:
+        rows, columns = (x.ravel() for x in np.indices(scores.shape))
+    return _best(rows, ids[columns], scores[rows, columns], k)
+
+
+# Parts that a query's rows are ranked in before the final ranking.
+MERGE_PARTS = 32
 
 
 def _merge(partial: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """The best ``k`` rows per query out of what the tasks kept, in two levels, so that no task gets all of a query's."""
+    order = [F.col("score").desc(), F.col("id")]
+    split = partial.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(MERGE_PARTS)))
+    within = F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))
+    few = split.withColumn("_place", within).filter(F.col("_place") <= k).drop("_part", "_place")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return few.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def _scan(vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
@@ -51,12 +66,10 @@ def _scan(vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int
         for batch in batches:
             if not len(batch):
                 continue
-            found = _top(query_ids, queries @ _matrix(batch["embedding"]).T, batch["id"].to_numpy(), k)
-            kept = found if kept is None else pd.concat([kept, found])
-            kept = kept.sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-            kept = kept.groupby("query_id", sort=False).head(k)
+            found = _top(queries @ _matrix(batch["embedding"]).T, batch["id"].to_numpy(), k)
+            kept = found if kept is None else _best(*map(np.concatenate, zip(kept, found)), k)
         if kept is not None:
-            yield kept
+            yield pd.DataFrame({"query_id": query_ids[kept[0]], "id": kept[1], "score": kept[2]})
 
     return vectors.select("id", "embedding").mapInPandas(best_of_task, RESULT)
 
@@ -75,8 +88,8 @@ def _blocks(vectors: DataFrame, queries: DataFrame, n_vectors: int, n_queries: i
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        scores = _matrix(right["embedding"]) @ _matrix(left["embedding"]).T
-        return _top(right["query_id"].to_numpy(), scores, left["id"].to_numpy(), k)
+        found = _top(_matrix(right["embedding"]) @ _matrix(left["embedding"]).T, left["id"].to_numpy(), k)
+        return pd.DataFrame({"query_id": right["query_id"].to_numpy()[found[0]], "id": found[1], "score": found[2]})
 
     return v.groupBy("qb", "vb").cogroup(q.groupBy("qb", "vb")).applyInPandas(compare, RESULT)
 
@@ -89,7 +102,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 200) -> DataFrame
     sent to the vectors while they are few, which is checked; beyond that both sides are
     cut into blocks.
     """
-    k = min(int(k), MAX_RESULTS)
+    k = int(k)
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], RESULT + ", rank int")
     # A first look that reads no more queries than may be broadcast.
@@ -109,7 +122,7 @@ def knn(vectors: DataFrame, query: list[float], k: int = 200, ids: DataFrame | N
     ``ids`` (column ``id``) restricts the search; unknown ids are ignored and an empty
     table means no restriction.
     """
-    k = min(int(k), MAX_RESULTS)
+    k = int(k)
     if ids is not None and not ids.isEmpty():
         vectors = vectors.join(ids.select("id").distinct(), "id", "left_semi")
     if k <= 0:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .query_text import SYNONYMS
+
 LST = """
 pl AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey),
 lst AS (
@@ -214,7 +216,7 @@ ORACLE = {
     "search_price_asc": page(score([["bolt"]], [], "bolt", "bolt"), sort="price-asc"),
     "search_price_desc": page(score([["bolt"]], [], "bolt", "bolt"), sort="price-desc"),
     "search_by_shop": page(score([["plate"]], [], "plate", "plate"), sort="shop"),
-    "search_by_title": page(score([["old"]], [], "old", "old"), sort="title", limit=1000),
+    "search_by_title": page(score([["old"]], [], "old", "old"), sort="title", limit=5000),
     "search_page2": page(score([["gear"]], [], "gear", "gear"), offset=240),
     "search_part_number": page(score([["pn12x"]], [], "pn12x", "pn12x", ("pn12x",))),
     "search_browse": page(score([], [], "")),
@@ -370,23 +372,19 @@ ORACLE = {
           s AS (SELECT id, round((1 - list_sum(list_transform(range(1, 65), lambda n: CASE WHEN bits[n] <> qb[n] THEN 1 ELSE 0 END)) / 64.0) * 0.74
             + list_sum(list_transform(range(1, 17), lambda k: least(hist[k], qh[k]))) * 0.21
             + greatest(0, 1 - abs(ln(greatest(ratio, 0.01) / greatest(qr, 0.01))) / ln(2.4)) * 0.05, 6) AS score FROM sig, q)
-        SELECT id, score FROM s ORDER BY score DESC, id LIMIT 20""",
+        SELECT id, score FROM s""",
     "token_edit_pairs": f"WITH {DICT} SELECT term, token, CAST(lev AS INTEGER) AS distance FROM pairs WHERE lev <= 2 AND substr(term, 1, 1) = substr(token, 1, 1)",
     "token_dice_pairs": f"WITH {DICT} SELECT term, token, round(dice, 6) AS dice FROM diced WHERE dice >= 0.5",
     "token_similarities": f"WITH {DICT} SELECT term, token, round(ts, 6) AS support FROM sim WHERE ts > 0",
     "fuzzy_tokens": f"""WITH {DICT}, f AS (SELECT term, token, CASE len(term) WHEN 4 THEN 0.82 WHEN 5 THEN 0.72 WHEN 6 THEN 0.72 ELSE 0.62 END AS floor, ts,
             greatest(ts, cs) AS best FROM sim WHERE term <> token),
-          g AS (SELECT term, token, CASE WHEN ts >= floor THEN ts ELSE best END AS support, floor FROM f),
-          r AS (SELECT term, token, support, row_number() OVER (PARTITION BY term ORDER BY support DESC, len(token), token) AS place FROM g WHERE support >= floor)
-        SELECT term, token, round(support, 6) AS support, place FROM r WHERE place <= 24""",
+          g AS (SELECT term, token, CASE WHEN ts >= floor THEN ts ELSE best END AS support, floor FROM f)
+        SELECT term, token, round(support, 6) AS support FROM g WHERE support >= floor""",
     "listing_postings": f"""WITH {RICH} SELECT field, token, count(*) AS listings FROM (SELECT field, token FROM tok UNION ALL SELECT 'part', token FROM parts) x GROUP BY 1, 2""",
     "part_prefixes": f"""WITH {RICH}, d AS (SELECT DISTINCT token FROM parts), p AS (SELECT unnest([token[1:3], token[1:4], token[1:5]]) AS prefix, token FROM d)
         SELECT prefix, count(*) AS tokens, min(token) AS first FROM p GROUP BY prefix""",
-    "synonym_terms": """WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part)
-        SELECT term, unnest(CASE term WHEN 'light' THEN ['led', 'light', 'diode', 'lamp']
-          WHEN 'cell' THEN ['lithium', 'liion', 'lion', 'lipo', 'battery', 'batteries', 'cell']
-          WHEN 'power' THEN ['output', 'voltage', 'vout', 'power', 'supply']
-          WHEN 'down' THEN ['buck', 'stepdown', 'down', 'dc', 'dcdc', 'converter', 'regulator'] ELSE [term] END) AS alt FROM w""",
+    "synonym_terms": f"""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part)
+        SELECT term, unnest(CASE term {" ".join(f"WHEN '{w}' THEN {g}" for w, g in SYNONYMS.items())} ELSE [term] END) AS alt FROM w""",
     "strict_search": f"""WITH {RICH}, w AS (SELECT *, list_contains(string_split(b, ' '), 'small') AS small, list_contains(string_split(b, ' '), 'ring') AS ring,
             contains(b, 'hot gear') OR contains(replace(b, ' ', ''), 'hotgear') AS hot, list_contains(string_split(b, ' '), 'promo') AS promo FROM rx),
           m AS (SELECT offer_id, shop, CASE WHEN small AND ring THEN 720.0 END AS one, CASE WHEN hot AND NOT promo THEN 360.0 END AS two FROM w)

@@ -9,7 +9,7 @@ from ..operators import catalog, crawl, fusion, listings as L, postings as IX, p
 from ..operators.images import resolve_images
 from ..sources import html, manifest
 from . import fixtures as fx
-from .query_text import compile_clauses, expand_term
+from .query_text import SYNONYMS, compile_clauses, expand_term
 from .search import Request, after, exclude_shops, matches, search, search_batch, search_shops
 
 FUZZY_TERMS = ["widgit", "smal", "platte", "gismo", "ring", "pn12x"]
@@ -491,7 +491,7 @@ def signature_neighbours(spark, sf):
     first = s.agg(F.min_by(F.struct("hash", "hist", "ratio"), "id").alias("q")).scalar()
     s = X.compute_once(s, {"q": first})
     score = I.signature_similarity("hash", "hist", "ratio", "q.hash", "q.hist", "q.ratio")
-    return s.select("id", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "id").limit(20)
+    return s.select("id", F.round(score, 6).alias("score"))
 
 
 # ---------------------------------------------------------------- fuzzy ranking
@@ -518,7 +518,7 @@ def token_dice_pairs(spark, sf):
 
 def fuzzy_tokens(spark, sf):
     found = IX.fuzzy_tokens(_dictionary(spark, sf), FUZZY_TERMS)
-    return found.select("term", "token", F.round("support", 6).alias("support"), "place")
+    return found.select("term", "token", F.round("support", 6).alias("support"))
 
 
 def token_similarities(spark, sf):
@@ -540,7 +540,7 @@ def part_prefixes(spark, sf):
 def synonym_terms(spark, sf):
     """Part names read as query terms and expanded."""
     words = fx.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
-    table = F.create_map(*[x for t in ("light", "cell", "power", "down") for x in (F.lit(t), F.array(*map(F.lit, expand_term(t))))])
+    table = F.create_map(*[x for t in SYNONYMS for x in (F.lit(t), F.array(*map(F.lit, expand_term(t))))])
     return words.select("term", F.explode(F.coalesce(F.try_element_at(table, F.col("term")), F.array("term"))).alias("alt"))
 
 

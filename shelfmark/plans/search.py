@@ -11,7 +11,9 @@ from ..functions import price as P, text as X
 from ..operators.listings import has_image
 from .query_text import Filters, Query, compile_query, fold, inline_filters, mixes_letters_and_digits, normalize, squeeze
 
-DEFAULT_LIMIT, MAX_LIMIT = 240, 1000
+DEFAULT_LIMIT = 240
+# Parts that each request's rows are ranked in before the final ranking.
+RANK_PARTS = 64
 SORTS = ("match", "price-asc", "price-desc", "title", "shop")
 NO_PRICE_LAST, NO_PRICE_LOW = 1e12, -1.0
 # Requests scored in one pass over the index.
@@ -33,7 +35,7 @@ class Request:
     disabled_shops: tuple[str, ...] = field(default=())
 
     def page(self) -> tuple[int, int]:
-        limit = max(1, min(MAX_LIMIT, int(self.limit or DEFAULT_LIMIT)))
+        limit = max(1, int(self.limit or DEFAULT_LIMIT))
         return max(0, int(self.offset or 0)), limit
 
 
@@ -145,7 +147,7 @@ def matches(index: DataFrame, request: Request) -> DataFrame:
 
 
 def paginate(ordered: DataFrame, offset: int = 0, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """One page of an ordered result: offset from 0, 1 to 1000 rows, 0 meaning the default."""
+    """One page of an ordered result: offset from 0, at least one row, 0 meaning the default."""
     start, size = Request(offset=offset, limit=limit).page()
     return ordered.offset(start).limit(size) if start else ordered.limit(size)
 
@@ -159,7 +161,7 @@ def search(index: DataFrame, request: Request, with_total: bool = True) -> DataF
     start, size = request.page()
     rows, order = keyed(found, request.sort)
     page = paginate(rows.orderBy(*order), start, size)
-    # At most 1000 rows are left to number here.
+    # Only the rows of the page are left to number here.
     page = page.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) + start)
     if with_total:
         page = page.withColumn("total", found.agg(F.count("*").alias("n")).scalar())
@@ -219,9 +221,14 @@ def _batch(index: DataFrame, requests: dict[str, Request]) -> DataFrame:
         if r.sort in ("price-asc", "price-desc", "title"):
             text = F.when(mine, F.lower("title")).otherwise(text)
     found, order = keyed(X.compute_once(found, {"_n": number, "_t": text}), "shop")
-    rank = F.row_number().over(Window.partitionBy("request_id").orderBy("_n", "_t", *order))
+    # A row on a page is among the best of its part too. So the matches of a request, however many and however deep
+    # its page, are cut in parts first and only the rows left meet for the final ranking.
+    found = found.withColumn("_part", F.pmod(F.xxhash64("source_file", "row_number"), F.lit(RANK_PARTS)))
+    bound = F.element_at(F.create_map(*[x for n, r in requests.items() for x in (F.lit(n), F.lit(sum(r.page())))]), F.col("request_id"))
     last = max(sum(r.page()) for r in requests.values())
-    # The constant bound lets Spark cut each task to its best rows before the shuffle.
+    within = F.row_number().over(Window.partitionBy("request_id", "_part").orderBy("_n", "_t", *order))
+    found = found.withColumn("_place", within).filter((F.col("_place") <= last) & (F.col("_place") <= bound))
+    rank = F.row_number().over(Window.partitionBy("request_id").orderBy("_n", "_t", *order))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= last)
     wanted = _any(
         [
@@ -230,7 +237,7 @@ def _batch(index: DataFrame, requests: dict[str, Request]) -> DataFrame:
         ]
     )
     page = ranked.filter(wanted).join(totals, "request_id")
-    return page.drop("_n", "_t", *[c for c in page.columns if c.startswith("_k")])
+    return page.drop("_n", "_t", "_part", "_place", *[c for c in page.columns if c.startswith("_k")])
 
 
 def resolve_filters(controls: Request, text_filters: Filters, rates: P.Rates, currency: str = "cny",

@@ -6,7 +6,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import price as P, text as X
-from ..operators.queue import SAVED, newest
 
 MANIFEST_ROWS = 10_000
 
@@ -150,8 +149,8 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_queue(items: DataFrame, path: str) -> None:
-    """The newest 200 items, oldest first."""
-    newest(items, SAVED).orderBy("enqueued").coalesce(1).write.mode("overwrite").json(path)
+    """All items, oldest first."""
+    items.orderBy("enqueued", "item_id").write.mode("overwrite").json(path)
 
 
 def prefs_rows(prefs: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ merges the batches, and compaction rewrites it as one. No state grows inside the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.crawl import merge_partials, partial_merge
+from ..operators.crawl import combine_partials, merge_partials, partial_merge
 from ..operators.listings import index_listings, normalize_listings
 from ..sources.files import LOOSE_SHOP, input_path
 from ..sources.manifest import MANIFEST, manifest_rows
@@ -30,41 +32,63 @@ def _start(stream: DataFrame, write, checkpoint: str) -> StreamingQuery:
     )
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame | None:
-    """All batches behind the last compaction and the compacted part itself."""
+def _compacted(spark: SparkSession, path: str) -> tuple[int | None, str | None]:
+    """Last batch of the current compaction and the folder with its rows."""
     try:
-        versions = spark.read.parquet(f"{path}/compacted/versions")
-        through = versions.agg(F.max("through")).first()[0]
+        last = spark.read.parquet(f"{path}/compacted/versions").agg(F.max_by(F.struct("through", "part"), "through")).first()[0]
     except AnalysisException:
-        through = None
-    parts = []
-    if through is not None:
-        parts.append(spark.read.parquet(f"{path}/compacted/data/through={through}"))
+        return None, None
+    return (last["through"], f"{path}/compacted/data/{last['part']}") if last else (None, None)
+
+
+def _batches(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        log = spark.read.parquet(f"{path}/log")
-        parts.append(log.filter(F.col("batch") > (-1 if through is None else through)).drop("batch"))
+        return spark.read.parquet(f"{path}/log")
     except AnalysisException:
-        pass
+        return None
+
+
+def _rows(spark: SparkSession, path: str, through: int | None, part: str | None, upto: int | None = None) -> DataFrame | None:
+    """Rows of a compaction and of the batches behind it, up to a batch if one is given."""
+    parts = [spark.read.parquet(part)] if part is not None else []
+    log = _batches(spark, path)
+    if log is not None:
+        log = log.filter(F.col("batch") > (-1 if through is None else through))
+        parts.append((log if upto is None else log.filter(F.col("batch") <= upto)).drop("batch"))
     if not parts:
         return None
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame | None:
+    """All batches behind the last compaction and the compacted part itself."""
+    return _rows(spark, path, *_compacted(spark, path))
+
+
 def compact(spark: SparkSession, path: str, merge) -> int | None:
-    """Rewrite the log as one merged part; the entry in ``versions`` makes it current."""
-    rows = read_log(spark, path)
-    if rows is None:
-        return None
-    try:
-        through = spark.read.parquet(f"{path}/log").agg(F.max("batch")).first()[0]
-    except AnalysisException:
-        return None
-    merge(rows).write.mode("overwrite").parquet(f"{path}/compacted/data/through={through}")
-    entry = spark.range(1).select(F.lit(through).alias("through"))
+    """Rewrite the log as one merged part; the entry in ``versions`` makes it current.
+
+    ``merge`` must give rows of the form it takes, as they are read and merged again with later batches. The last
+    batch is looked up first and only batches up to it are taken, so that one which arrives meanwhile stays in the
+    log. Every compaction has a folder of its own; without a new batch nothing is written.
+    """
+    done, part = _compacted(spark, path)
+    log = _batches(spark, path)
+    through = None if log is None else log.agg(F.max("batch")).first()[0]
+    if through is None or (done is not None and through <= done):
+        return done
+    fresh = f"through={through}-{uuid.uuid4().hex}"
+    merge(_rows(spark, path, done, part, through)).write.parquet(f"{path}/compacted/data/{fresh}")
+    entry = spark.range(1).select(F.lit(through).alias("through"), F.lit(fresh).alias("part"))
     entry.coalesce(1).write.mode("append").parquet(f"{path}/compacted/versions")
     return through
 
 
+def compact_merge(spark: SparkSession, path: str, keys: list[str] | None = None, seq: str = "seq") -> int | None:
+    """Compact the log of :func:`stream_merge`, keeping partial merges as such."""
+    return compact(spark, path, lambda rows: combine_partials(rows, keys or ["shop", "row_key"], seq))
+
+
 def manifest_stream(spark: SparkSession, root: str, glob: str = "manifest.json", multi_line: bool = True,
                     files_per_batch: int = 10_000) -> DataFrame:
     """Manifests as they arrive, with ``source_file``, ``mtime`` and ``shop``."""

@@ -184,6 +184,24 @@ def test_stream_listings(spark, tmp_path):
     assert {(r["shop"], r["title"]) for r in got.collect()} == {("Shop", "old"), ("Shop", "gone"), ("Other", "new")}
     assert ingest.compact(spark, out, ingest.latest_files) == 1
     assert ingest.streamed_index(spark, out).count() == 3
+    assert ingest.compact(spark, out, ingest.latest_files) == 1  # nothing new: nothing is written
+    assert ingest.streamed_index(spark, out).count() == 3
+
+
+def test_batch_that_arrives_during_compaction_stays_in_the_log(spark, tmp_path):
+    def append(batch, *ids):
+        spark.createDataFrame([(i,) for i in ids], "id long").write.parquet(f"{tmp_path}/log/batch={batch}")
+
+    def merge(rows):
+        append(2, 30)  # arrives after the last batch was looked up
+        return rows.distinct()
+
+    append(0, 10, 10)
+    append(1, 20)
+    assert ingest.compact(spark, str(tmp_path), merge) == 1
+    assert sorted(r["id"] for r in ingest.read_log(spark, str(tmp_path)).collect()) == [10, 20, 30]
+    assert ingest.compact(spark, str(tmp_path), lambda rows: rows) == 2
+    assert sorted(r["id"] for r in ingest.read_log(spark, str(tmp_path)).collect()) == [10, 20, 30]
 
 
 def test_stream_merge_equals_batch(spark, tmp_path):
@@ -195,6 +213,17 @@ def test_stream_merge_equals_batch(spark, tmp_path):
     ingest.stream_merge(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(90)
     want = {(r["row_key"], r["seq"], r["image_url"]) for r in merge_observations(df).collect()}
     assert {(r["row_key"], r["seq"], r["image_url"]) for r in ingest.merged(spark, f"{tmp_path}/out").collect()} == want
+    result = lambda: {(r["row_key"], r["seq"], r["image_url"]) for r in ingest.merged(spark, f"{tmp_path}/out").collect()}
+    assert ingest.compact_merge(spark, f"{tmp_path}/out") == ingest.compact_merge(spark, f"{tmp_path}/out")
+    assert result() == want
+    more = [("s", f"k{n % 9}", n, "" if n % 4 else f"j{n}") for n in range(60, 80)]
+    later = spark.createDataFrame(more, "shop string, row_key string, seq long, image_url string").withColumn("ts", F.lit(None).cast("timestamp"))
+    later.write.mode("append").parquet(f"{tmp_path}/in")
+    ingest.stream_merge(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(90)
+    want = {(r["row_key"], r["seq"], r["image_url"]) for r in merge_observations(df.unionByName(later)).collect()}
+    assert result() == want
+    ingest.compact_merge(spark, f"{tmp_path}/out")
+    assert result() == want
     windows = rate_limit_windows(df.withColumnRenamed("shop", "shop"), F.col("image_url") != "")
     assert windows.filter("active").count() > 0
 
