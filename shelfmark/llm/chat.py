@@ -9,10 +9,9 @@ another, show where inside its span a turn's own text begins and ends.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
@@ -49,9 +48,21 @@ class MarkedTemplate:
     turn: str = "<|turn|>"
     text: str = "<|text|>"
     end: str = "<|end|>\n"
+    #: Turns rendered lately, as each is part of many prefixes; emptied for each new conversation.
+    known: dict[Turn, str] = field(default_factory=dict, compare=False, repr=False)
+
+    def _piece(self, turn: Turn) -> str:
+        found = self.known.get(turn)
+        if found is None:
+            role, text = turn
+            found = f"{self.turn}{escape(role)}{self.text}{escape(text)}{self.end}"
+            self.known[turn] = found
+        return found
 
     def __call__(self, turns: list[Turn]) -> str:
-        return "".join(f"{self.turn}{escape(r)}{self.text}{escape(t)}{self.end}" for r, t in turns)
+        if len(self.known) > 10_000 or len(turns) == 1:
+            self.known.clear()
+        return "".join(map(self._piece, turns))
 
     def role(self, header: str) -> str:
         """The role that a turn's header, the part of its span before its text, names."""
@@ -63,8 +74,17 @@ class MarkedTemplate:
 
 
 def common(a: str, b: str) -> int:
-    """Length of the longest common prefix."""
-    return len(os.path.commonprefix([a, b]))
+    """Length of the longest common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
 
 
 def locate(template: Callable[[list[Turn]], str], turns: list[Turn]) -> tuple[str, list[tuple | None], int]:
