@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.images import resolve_images
 from ..operators.listings import alias_picker, index_listings, normalize_listings, union_sources
 from ..operators.prices import PRICE_COLUMNS, normalize_prices
-from ..sources.files import apply_precedence, discover_sources, read_image_inventory
+from ..sources.files import discover_sources, manifest_folders, placement, read_image_inventory
 from ..sources.manifest import manifest_rows, read_manifest_files
 from ..sources.sinks import save_index
-from ..sources.tabular import read_listing_csv, read_listing_xlsx
+from ..sources.tabular import load_table
 
 
 def load_sources(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -18,21 +18,22 @@ def load_sources(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame,
 
     A file that cannot be read adds an entry to ``errors`` and the load goes on.
     """
-    sources = apply_precedence(discover_sources(spark, root))
-    owner = sources.select(F.col("path").alias("source_file"), "shop", "kind")
-    manifests = read_manifest_files(spark, root).join(owner, "source_file")
+    here = placement("source_file")
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumns({c: here[c] for c in ("kind", "shop", "shop_dir")})
+
+    manifests = placed(read_manifest_files(spark, root)).filter("kind = 'manifest'").drop("shop_dir")
     good = manifests.filter(F.col("_corrupt_record").isNull())
-    books = read_listing_xlsx(spark, root).join(owner, "source_file")
-    rows = union_sources(
-        manifest_rows(good),
-        read_listing_csv(spark, root).join(owner, "source_file"),
-        books.filter(F.col("error").isNull()).drop("error"),
-    )
+    # Shop and kind follow from the path. Only the folders with manifests are a table, a row per shop.
+    taken = manifest_folders(discover_sources(spark, root))
+    tables = placed(load_table(spark, root)).filter("kind = 'table'").join(taken, "shop_dir", "left_anti").drop("shop_dir")
+    rows = union_sources(manifest_rows(good), tables.filter(F.col("error").isNull()).drop("error"))
     # Spark answers no query that reads the corrupt-record column alone, so the text says
     # what was left of the file.
     kind = F.when(F.size("rows") > 0, F.lit("damaged JSON manifest")).otherwise(F.lit("not a JSON manifest"))
     errors = manifests.filter(F.col("_corrupt_record").isNotNull()).select("source_file", kind.alias("error"))
-    return rows, errors.unionByName(books.filter(F.col("error").isNotNull()).select("source_file", "error")), good
+    return rows, errors.unionByName(tables.filter(F.col("error").isNotNull()).select("source_file", "error")), good
 
 
 def build_index(spark: SparkSession, root: str, with_images: bool = True) -> DataFrame:

@@ -34,19 +34,20 @@ def input_path(root: str) -> Column:
     return U.relative_path(F.col("_metadata.file_path"), root)
 
 
-def discover_sources(spark: SparkSession, root: str, collected: str = COLLECTED_DIR,
-                     skip: tuple[str, ...] = SYSTEM_DIRS) -> DataFrame:
-    """Source files with their shop: ``path, size, mtime, kind, shop, shop_dir``.
+def placement(path: Column | str = "path", collected: str = COLLECTED_DIR,
+              skip: tuple[str, ...] = SYSTEM_DIRS) -> dict[str, Column]:
+    """What the path of a file, relative to the root, says: its ``kind`` (NULL: no source), ``suffix``, ``shop`` and ``shop_dir``.
 
     A folder below the root, or below the collected-data folder, is one shop. Files directly
     in the root belong to ``workspace``, files directly in the collected-data folder to that
     folder; such loose files have no ``shop_dir``.
     """
-    files = file_meta(spark, root, SOURCE_GLOB)
-    parts = F.split("path", "/")
-    name, suffix = F.element_at(parts, -1), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    kind = F.when(name == "manifest.json", F.lit("manifest")).when(suffix.isin("csv", "xlsx"), F.lit("table"))
+    path = X.col(path)
+    parts = F.split(path, "/")
+    name, suffix = F.element_at(parts, -1), F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     top, depth = parts[0], F.size(parts)
+    system = (depth > 1) & top.isin(list(skip))
+    kind = F.when(name == "manifest.json", F.lit("manifest")).when(suffix.isin("csv", "xlsx"), F.lit("table"))
     nested = top == collected
     shop = (
         F.when(depth == 1, F.lit(LOOSE_SHOP))
@@ -56,14 +57,24 @@ def discover_sources(spark: SparkSession, root: str, collected: str = COLLECTED_
     shop_dir = F.when(depth == 1, F.lit(None)).when(
         nested, F.when(depth > 2, F.concat_ws("/", top, F.try_element_at(parts, F.lit(2))))
     ).otherwise(top)
-    found = files.withColumns({"kind": kind, "suffix": suffix, "shop": shop, "shop_dir": shop_dir})
-    system = (depth > 1) & top.isin(list(skip))
-    return found.filter(F.col("kind").isNotNull() & ~system)
+    return {"kind": F.when(~system, kind), "suffix": suffix, "shop": shop, "shop_dir": shop_dir}
+
+
+def discover_sources(spark: SparkSession, root: str, collected: str = COLLECTED_DIR,
+                     skip: tuple[str, ...] = SYSTEM_DIRS) -> DataFrame:
+    """Source files with their shop: ``path, size, mtime, kind, shop, shop_dir`` (see :func:`placement`)."""
+    found = file_meta(spark, root, SOURCE_GLOB).withColumns(placement("path", collected, skip))
+    return found.filter(F.col("kind").isNotNull())
+
+
+def manifest_folders(sources: DataFrame) -> DataFrame:
+    """The shop folders that have a manifest."""
+    return sources.filter("kind = 'manifest' AND shop_dir IS NOT NULL").select("shop_dir").distinct()
 
 
 def apply_precedence(sources: DataFrame) -> DataFrame:
     """Where a shop folder has manifests, its tables are ignored; loose files all stay."""
-    with_manifest = sources.filter("kind = 'manifest' AND shop_dir IS NOT NULL").select("shop_dir").distinct()
+    with_manifest = manifest_folders(sources)
     tables = sources.filter("kind = 'table'").join(with_manifest, "shop_dir", "left_anti")
     return sources.filter("kind = 'manifest'").unionByName(tables)
 

@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .files import RAW_SCHEMA, input_path
 
-MAX_COLUMNS = 256
+# Columns that the CSV reader is told of; a wider file is an error of that file.
+MAX_COLUMNS = 1024
+ERROR = "\0error"
 _MAP = pa.map_(pa.string(), pa.string())
 _RAW = pa.schema([("source_file", pa.string()), ("row_number", pa.int64()), ("fields", _MAP)])
 
@@ -38,7 +40,9 @@ def _name_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first = [part.column(i)[0].as_py() for i in range(1, part.num_columns)]
                 width = max((i + 1 for i, v in enumerate(first) if v is not None), default=0)
                 if width > MAX_COLUMNS:
-                    raise ValueError(f"{current}: more than {MAX_COLUMNS} columns")
+                    width = 0
+                    says = pa.array([[(ERROR, f"more than {MAX_COLUMNS} columns")]], _MAP)
+                    yield pa.RecordBatch.from_arrays([pa.array([current]), pa.array([0], pa.int64()), says], schema=_RAW)
                 header = [(v or "").removeprefix("﻿") for v in first[:width]]
                 part = part.slice(1)
             if not part.num_rows or not header:
@@ -59,7 +63,7 @@ def read_listing_csv(spark: SparkSession, root: str, glob: str = "*.csv") -> Dat
     """Rows of all CSV files below ``root``; quoted line breaks and a byte-order mark are fine.
 
     Splitting is done by Spark's reader. Naming the cells is a pass over Arrow batches
-    without a shuffle.
+    without a shuffle. A file that cannot be read has one row, numbered 0, with what is wrong under ``ERROR``.
     """
     cells = [f"c{i}" for i in range(MAX_COLUMNS + 1)]
     files = (
@@ -188,5 +192,9 @@ def read_listing_xlsx(spark: SparkSession, root: str, glob: str = "*.xlsx") -> D
 
 def load_table(spark: SparkSession, root: str) -> DataFrame:
     """Rows of all tables below ``root``; other files have no rows. Errors are in ``error``."""
-    csv = read_listing_csv(spark, root).withColumn("error", F.lit(None).cast("string"))
-    return csv.unionByName(read_listing_xlsx(spark, root))
+    return with_error(read_listing_csv(spark, root)).unionByName(read_listing_xlsx(spark, root))
+
+
+def with_error(csv: DataFrame) -> DataFrame:
+    """CSV rows with a column ``error``, filled for files that could not be read."""
+    return csv.withColumn("error", F.try_element_at("fields", F.lit(ERROR)))
