@@ -76,6 +76,13 @@ def read_queue(spark: SparkSession, path: str, restarted: bool = True) -> DataFr
     return items
 
 
+def load_queue(spark: SparkSession, path: str, restarted: bool = True) -> DataFrame:
+    """Queue items stored as rows (:func:`sinks.save_queue`); after a restart, running ones wait again."""
+    items = read_state(spark, path, "item_id string, status string, seq long, ts string, enqueued long, url string", multi_line=False)
+    waiting = F.when(F.col("status") == "running", F.lit("queued")).otherwise(F.col("status"))
+    return items.withColumn("status", waiting) if restarted else items
+
+
 def read_repairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(prices, failures)`` of a repair cache."""
     doc = read_state(spark, path, REPAIRS)
