@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.llm import near_dedup, packing, pii, quality
-from shelfmark.llm.common import documents, shared_dir
+from shelfmark.llm.common import documents
+from shelfmark.session import shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,8 @@
-"""What the operators of this folder share: shared tables, Arrow mapping, worker-wide objects."""
+"""What the operators of this folder share: tables in the shared folder, Arrow mapping, worker-wide objects."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
@@ -12,13 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
+from shelfmark.session import shared_dir
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -44,17 +37,29 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 def kept(name: Any, build: Callable[[], Any]) -> Any:
-    """An object that each Python worker builds once and keeps over its tasks.
+    """An object that each Python worker builds once and keeps over its tasks, until it is asked for another one.
 
-    Functions of this package may travel with the task, and their module variables with them,
-    so what should outlive a task hangs on the interpreter.
+    Functions of this package may travel with the task, and their module variables with them, so what should outlive
+    a task hangs on the interpreter. Only the last object is held: jobs that follow each other use different ones.
     """
     store = sys.__dict__.setdefault("_shelfmark_kept", {})
     if name not in store:
+        store.clear()
         store[name] = build()
     return store[name]
 
 
+def hash_sample(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """At most ``most`` rows, the ones with the smallest hash of their keys; all rows if they are no more.
+
+    A first count sets a hash bound near the wanted number, so that tasks hand over few rows however many tasks there
+    are.
+    """
+    spread = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    share = min(1.0, (1.2 * most + 50) / max(1, rows.count()))
+    return rows.where(spread < int(share * (1 << 40))).orderBy(spread, *keys).limit(most)
+
+
 def map_columns(
     df: DataFrame, work: Callable[..., Any], schema: str | T.StructType, carry: Sequence[str] = (),
 ) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.llm.common import free_name, map_columns, texts_of
+from shelfmark.llm.common import free_name, hash_sample, map_columns, texts_of
 
 KINDS = ["email", "ip", "card", "phone"]
 Span = tuple[int, int]
@@ -341,9 +341,8 @@ def train(texts: Sequence[str], epochs: int = EPOCHS) -> Field:
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS, longest: int = SAMPLE_CHARS) -> Field:
     """Train on at most ``sample`` documents with digits or at-signs, of at most ``longest`` characters, by hash of the id."""
-    picked = docs.select("doc_id", "text").where(
-        (F.length("text") <= longest) & F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample)
-    return train([r["text"] for r in picked.orderBy(F.xxhash64("doc_id", "text"), "doc_id").collect()])
+    able = docs.select("doc_id", "text").where((F.length("text") <= longest) & F.col("text").rlike("[0-9@]"))
+    return train([r["text"] for r in hash_sample(able, sample, "doc_id", "text").collect()])
 
 
 def all_spans(text: str, field: Field) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:

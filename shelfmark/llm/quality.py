@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.llm.common import free_name, map_columns, texts_of
+from shelfmark.llm.common import free_name, hash_sample, map_columns, texts_of
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """
     name = free_name(docs, "stats")
     marked = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    picked = hash_sample(marked, sample, "doc_id")
     rows = measure(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), name).select(
         "doc_id", "q", *[F.col(name).getField(s).alias(s) for s in STATISTICS]).toPandas()
     rows = rows.sort_values(["doc_id", *STATISTICS], kind="stable").reset_index(drop=True)
