@@ -1,5 +1,5 @@
 import brute_llm
-from conftest import ODD
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
 from shelfmark.llm import fingerprints

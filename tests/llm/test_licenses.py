@@ -1,6 +1,6 @@
 import re
 
-from conftest import ODD
+from odd_rows import ODD
 
 from shelfmark.llm import licenses
 

@@ -3,7 +3,7 @@ import random
 
 import brute_llm
 import numpy as np
-from conftest import ODD
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
 from shelfmark.llm import components, near_dedup

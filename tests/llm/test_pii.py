@@ -4,7 +4,7 @@ import re
 
 import duckdb
 import numpy as np
-from conftest import ODD
+from odd_rows import ODD
 
 from shelfmark.llm import pii
 

@@ -1,7 +1,7 @@
 import duckdb
 import numpy as np
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
 from shelfmark.llm import quality

@@ -2,7 +2,7 @@ import random
 import zlib
 from collections import defaultdict
 
-from conftest import ODD
+from odd_rows import ODD
 
 from shelfmark.llm import sharding
 

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 
 from shelfmark.llm import binary_output, packing
 from shelfmark.llm.tokens import Chunked, default_path

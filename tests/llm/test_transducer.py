@@ -4,7 +4,7 @@ import struct
 
 import numpy as np
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 
 from shelfmark.llm import transducer
 
