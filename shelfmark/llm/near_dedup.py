@@ -7,8 +7,8 @@ to their probability Jaccard similarity. A shingle's points are drawn until they
 filled, so long texts need few points for each shingle. Points depend on the shingle alone.
 
 Banding. Registers are joined to bands; texts that agree in a whole band share a bucket. Nobody is compared with all
-others of a bucket: each bucket, and each meeting of two buckets, names two leaders, its most central text (the one
-whose buckets hold most texts) and one by hash, and the members are compared with these.
+others of a bucket: each bucket, and each meeting of two buckets, names leaders, its most central text (the one whose
+buckets hold most texts) and two by hash, and the members are compared with these.
 
 Verification. A pair counts if the Jaccard similarity of the whole sets of shingles is 0.8 or more. Classes are the
 connected components of such pairs and of equal texts. Texts of one class share many buckets with different leaders, so
@@ -38,6 +38,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: A pair of buckets meets if their bands are this far apart.
 STRIDES = (1, 7)
+#: Leaders of a bucket besides its most central text, by a hash of text and bucket, so that buckets differ in them.
+OTHERS = 2
 BATCH_TEXTS, BATCH_CHARS = 500, 2_000_000
 POINTS = 1 << 16
 _BREAKS = bytes(32 if c < 48 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 127 else c for c in range(256))
@@ -171,9 +173,11 @@ def candidates(texts: DataFrame) -> DataFrame:
     keyed = checkpoint(by_text.select("gid", "central", F.explode(keys).alias("key")))
     leaders = keyed.groupBy("key").agg(
         F.max(F.struct("central", "gid")).getField("gid").alias("first"),
-        F.min(F.struct(F.xxhash64("gid").alias("h"), F.col("gid"))).getField("gid").alias("second"),
+        *[F.min(F.struct(F.xxhash64("gid", "key", F.lit(k)).alias("h"), F.col("gid"))).getField("gid").alias(f"other{k}")
+          for k in range(OTHERS)],
         F.count("*").alias("n")).where("n > 1")
-    return keyed.join(leaders, "key").select("gid", F.explode(F.array("first", "second")).alias("b")).where(
+    named = F.array("first", *[f"other{k}" for k in range(OTHERS)])
+    return keyed.join(leaders, "key").select("gid", F.explode(F.array_distinct(named)).alias("b")).where(
         "gid <> b").select(F.col("gid").alias("a"), "b").distinct()
 
 
