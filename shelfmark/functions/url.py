@@ -82,9 +82,16 @@ def decode_repeatedly(c: Column | str, rounds: int | None = 5) -> Column:
     else:
         start = clean_text(c)
         steps = F.sequence(F.lit(1), F.lit(rounds))
-    decoded = F.aggregate(
-        steps, start, lambda acc, _: F.when(F.contains(acc, F.lit("%")), unquote(acc)).otherwise(acc)
-    )
+
+    def state(text: Column, done: Column) -> Column:
+        return F.struct(text.alias("text"), done.alias("done"))
+
+    def step(acc: Column, _: Column) -> Column:
+        # A text that a round leaves as it is, such as one with a stray percent sign, is not decoded again.
+        again = let(unquote(acc["text"]), lambda new: state(new, (new == acc["text"]) | ~F.contains(new, F.lit("%"))))
+        return F.when(acc["done"], acc).otherwise(again)
+
+    decoded = F.aggregate(steps, state(start, F.lit(False)), step)["text"]
     return F.when(F.contains(start, F.lit("%")), decoded).otherwise(start)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,8 +13,17 @@ OUTPUT = "item_id string, status string, seq long, events long, enqueued long"
 STATE = "status string, seq long, events long, enqueued long"
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Latest status of one item. Only four values are kept, whatever the number of events."""
+# An item with one of these gets no further events unless it is retried under a new id.
+FINISHED = ("completed", "error", "cancelled")
+WEEK_MS = 7 * 24 * 3600 * 1000
+
+
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, keep_ms: int) -> Iterator[pd.DataFrame]:
+    """Latest status of one item. Only four values are kept, whatever the number of events; those of a finished item
+    go after a while."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     status, seq, events, enqueued = state.get if state.exists else ("", -1, 0, None)
     for pdf in batches:
         if not len(pdf):
@@ -24,17 +34,23 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         if int(last["seq"]) > seq:
             status, seq = str(last["status"]), int(last["seq"])
     state.update((status, seq, events, enqueued))
+    if status in FINISHED:
+        state.setTimeoutDuration(keep_ms)
     yield pd.DataFrame(
         {"item_id": [key[0]], "status": [status], "seq": [seq], "events": [events], "enqueued": [enqueued]}
     )
 
 
-def queue_state_stream(events: DataFrame) -> DataFrame:
-    """Status changes per queue item from an event stream (``item_id, status, seq``)."""
+def queue_state_stream(events: DataFrame, keep_ms: int = WEEK_MS) -> DataFrame:
+    """Status changes per queue item from an event stream (``item_id, status, seq``).
+
+    The state of a finished item is dropped ``keep_ms`` of processing time after its last event.
+    """
     return (
         events.select("item_id", "status", "seq")
         .groupBy("item_id")
-        .applyInPandasWithState(_advance, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(
+            partial(_advance, keep_ms=keep_ms), OUTPUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
     )
 
 

@@ -239,3 +239,32 @@ def test_queue_stream_equals_batch(spark, tmp_path):
     last = spark.sql("SELECT item_id, max_by(status, seq) AS status, max(seq) AS seq, max(events) AS events FROM queue_out GROUP BY item_id")
     want = {(r["item_id"], r["status"], r["seq"]) for r in queue_state(df.withColumn("ts", F.lit(""))).collect()}
     assert {(r["item_id"], r["status"], r["seq"]) for r in last.collect()} == want and {r["events"] for r in last.collect()} == {8}
+
+
+def test_finished_queue_items_leave_the_state():
+    from shelfmark.streaming.state import _advance
+
+    class State:
+        def __init__(self, value=None, timed_out=False):
+            self.value, self.hasTimedOut, self.timeout, self.removed = value, timed_out, None, False
+
+        exists = property(lambda self: self.value is not None)
+        get = property(lambda self: self.value)
+
+        def update(self, value):
+            self.value = value
+
+        def setTimeoutDuration(self, ms):
+            self.timeout = ms
+
+        def remove(self):
+            self.removed = True
+
+    import pandas as pd
+
+    going, done = State(), State()
+    list(_advance(("a",), iter([pd.DataFrame({"item_id": ["a"], "status": ["running"], "seq": [1]})]), going, 5))
+    list(_advance(("a",), iter([pd.DataFrame({"item_id": ["a"], "status": ["completed"], "seq": [2]})]), done, 5))
+    assert going.timeout is None and done.timeout == 5
+    late = State(done.value, timed_out=True)
+    assert list(_advance(("a",), iter([]), late, 5)) == [] and late.removed
