@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import image as I, price as P, similarity as S, text as X, url as U
 from ..operators import catalog, crawl, fusion, listings as L, postings as IX, prices, queue, scoring, vectors as V
 from ..operators.images import resolve_images
-from ..sources import html, manifest
+from ..sources import html, manifest, state
 from . import fixtures as fx
 from .query_text import SYNONYMS, compile_clauses, expand_term
 from .search import Request, after, exclude_shops, matches, search, search_batch, search_shops
@@ -96,7 +96,7 @@ def extract_page_cards(spark, sf):
 
 
 def event_props_json(spark, sf):
-    events = fx.table(spark, sf, "events").select("event_type", F.from_json("props", "k long").alias("p"))
+    events = fx.table(spark, sf, "events").select("event_type", state.parse_json("props", "k long").alias("p"))
     return events.groupBy("event_type").agg(F.count("*").alias("events"), F.sum("p.k").alias("total"), F.max("p.k").alias("most"))
 
 
@@ -467,9 +467,10 @@ def vectors_pending(spark, sf):
 
 
 def vector_build(spark, sf):
+    """Known images keep their vectors; new ones go through an encoder that knows nothing but the path."""
     candidates, cache = _images(spark, sf)
-    keyed = candidates.join(cache.withColumn("reused", F.lit(True)), "vector_key", "left")
-    return V.vector_stats(keyed.withColumn("reused", F.coalesce("reused", F.lit(False))))
+    known = cache.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>"))
+    return V.vector_stats(V.refresh_vectors(candidates, known, lambda paths: [[float(len(p)), 1.0] for p in paths]))
 
 
 def _signature(v: DataFrame) -> DataFrame:
