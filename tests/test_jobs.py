@@ -163,6 +163,9 @@ def test_knn(spark, monkeypatch, blocks):
     assert {r["id"] for r in V.knn(vectors, asked[0].tolist(), 5, subset).collect()} == {1, 2}
     assert V.knn(vectors, asked[0].tolist(), 5, subset.limit(0)).count() == 5
     assert V.knn(vectors, asked[0].tolist(), 0).isEmpty()
+    many = spark.range(2600).select("id", F.array(F.cos(F.col("id") % 7), F.sin(F.col("id") % 7)).alias("embedding")).repartition(5)
+    got = V.knn(many, [1.0, 0.0], 2500).orderBy("rank").collect()
+    assert len(got) == 2500 and [(r["score"], -r["id"]) for r in got] == sorted(((r["score"], -r["id"]) for r in got), reverse=True)
 
 
 def test_refresh_vectors(spark):

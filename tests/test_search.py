@@ -130,6 +130,16 @@ def test_batch_equals_single(index):
         assert sorted((r["rank"], r["title"], r["total"]) for r in batch if r["request_id"] == name) == want
 
 
+def test_deep_pages_of_a_batch_equal_single_ones(index):
+    many = index.crossJoin(index.sparkSession.range(500).withColumnRenamed("id", "n")).withColumn(
+        "row_number", F.col("row_number") * 1000 + F.col("n")).drop("n")
+    requests = {"deep": Request("tp4056", limit=7, offset=1300), "first": Request("tp4056", limit=5), "price": Request("", "price-asc", 2000, 9)}
+    batch = search_batch(many, requests).collect()
+    for name, request in requests.items():
+        want = [(r["rank"], r["title"], r["row_number"], r["total"]) for r in search(many, request).orderBy("rank").collect()]
+        assert sorted((r["rank"], r["title"], r["row_number"], r["total"]) for r in batch if r["request_id"] == name) == want and want
+
+
 def test_requests():
     rates = Rates(1.4, 0.2)
     r = request_from_text("chip min:10 max:2 shop:Big", Request(), rates, "usd")
