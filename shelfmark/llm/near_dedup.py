@@ -11,8 +11,10 @@ others of a bucket: each bucket, and each meeting of two buckets, names leaders,
 buckets hold most texts) and two by hash, and the members are compared with these.
 
 Verification. A pair counts if the Jaccard similarity of the whole sets of shingles is 0.8 or more. Classes are the
-connected components of such pairs and of equal texts. Texts of one class share many buckets with different leaders, so
-that a class hangs together although not every pair is looked at.
+connected components of such pairs and of equal texts. Leaders find nearly all of them.
+
+Rest. What buckets and leaders have missed is found by a prefix filter over all texts (``prefix_join``): all pairs of
+texts that are still in different classes and may be alike are verified too, so that no link depends on a chance.
 
 Words are what ASCII blanks, punctuation and control characters leave, in lower case. A text of fewer than five words is
 one shingle of them all. Null texts are empty. Equal texts are one class always, empty ones too; texts count as equal if
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfmark.llm.common import checkpoint, free_name, kept, list_array, map_columns, texts_of
 from shelfmark.llm.components import components
 from shelfmark.llm.fingerprints import hashes, words
+from shelfmark.llm.prefix_join import pairs_across, prefix
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -40,6 +43,8 @@ REGISTERS = BANDS * ROWS
 STRIDES = (1, 7)
 #: Leaders of a bucket besides its most central text, by a hash of text and bucket, so that buckets differ in them.
 OTHERS = 2
+#: Texts that are asked, about, which shingles are common, and most shingles they may name. Only the order hangs on it.
+SAMPLE_TEXTS, COMMON = 10_000, 1 << 17
 BATCH_TEXTS, BATCH_CHARS = 500, 2_000_000
 POINTS = 1 << 16
 _BREAKS = bytes(32 if c < 48 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 127 else c for c in range(256))
@@ -124,12 +129,36 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def banded(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the text's hash ``gid`` and its ``bands``; texts without words have no bands."""
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most common shingles and in how many texts of a sample by hash they are."""
+    share = min(1.0, SAMPLE_TEXTS / max(1, docs.count()))
+    asked = docs.select(text_hash().alias("gid"), "text").where(
+        F.pmod(F.xxhash64("gid"), F.lit(1 << 40)) < int(share * (1 << 40))).dropDuplicates(["gid"])
+
+    def work(texts: pa.Array) -> tuple:
+        known = kept("word hashes", WordHashes)
+        return (list_array([shingles(t, known)[0].view(np.int64) for t in texts_of(texts)], pa.int64()),)
+
+    found = map_columns(asked.select("text"), lambda batches: map(lambda b: work(*b), batches), "found array<bigint>")
+    counted = found.select(F.explode("found").alias("shingle")).groupBy("shingle").count().where("count > 2")
+    most = counted.orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
+    names = most["shingle"].to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    return names[order], np.minimum(most["count"].to_numpy()[order], 32_000).astype(np.int16)
+
+
+def banded(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id``, the text's hash ``gid``, its ``bands``, ``prefix`` and number ``n`` of distinct shingles.
+
+    Texts without words have no bands and no prefix.
+    """
+    common = common_shingles(docs)
 
     def work(texts: pa.Array) -> tuple:
         known = kept("word hashes", WordHashes)
         out: list[np.ndarray] = []
+        firsts: list[np.ndarray] = []
+        sizes: list[int] = []
         pending: list[tuple] = []
         size = 0
 
@@ -138,6 +167,8 @@ def banded(docs: DataFrame) -> DataFrame:
             if pending:
                 keys = band_keys(sketches(pending))
                 out.extend(k if len(s[0]) else k[:0] for k, s in zip(keys, pending, strict=True))
+                firsts.extend(prefix(s[0], common, similarity) for s in pending)
+                sizes.extend(len(s[0]) for s in pending)
             pending.clear()
             size = 0
 
@@ -147,10 +178,10 @@ def banded(docs: DataFrame) -> DataFrame:
             if len(pending) == BATCH_TEXTS or size > BATCH_CHARS:
                 flush()
         flush()
-        return (list_array(out, pa.int64()),)
+        return list_array(out, pa.int64()), list_array(firsts, pa.int32()), sizes
 
-    return map_columns(docs.select("doc_id", text_hash().alias("gid"), "text"), work, "bands array<bigint>",
-                       carry=["doc_id", "gid"])
+    return map_columns(docs.select("doc_id", text_hash().alias("gid"), "text"), work,
+                       "bands array<bigint>, prefix array<int>, n int", carry=["doc_id", "gid"])
 
 
 def candidates(texts: DataFrame) -> DataFrame:
@@ -204,12 +235,20 @@ def verified(pairs: DataFrame, docs: DataFrame, bearers: DataFrame, similarity:
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``gid``, ``tag`` (tells rows apart) and ``root`` of its class."""
-    keys = checkpoint(banded(docs).withColumn("tag", F.monotonically_increasing_id()))
+    keys = checkpoint(banded(docs, similarity).withColumn("tag", F.monotonically_increasing_id()))
     texts = keys.where(F.size("bands") > 0).groupBy("gid").agg(F.first("bands").alias("bands"))
     bearers = keys.groupBy("gid").agg(F.min("doc_id").alias("doc_id"))
     roots = checkpoint(components(verified(candidates(texts), docs, bearers, similarity)))
-    return keys.select("doc_id", "gid", "tag").join(roots.withColumnRenamed("node", "gid"), "gid", "left").select(
-        "doc_id", "gid", "tag", F.coalesce("root", "gid").alias("root"))
+    roots = roots.withColumnRenamed("node", "gid")
+    sets = keys.where("n > 0").groupBy("gid").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"))
+    sets = sets.join(roots, "gid", "left").withColumn("root", F.coalesce("root", "gid"))
+    missed = verified(pairs_across(sets, similarity), docs, bearers, similarity).select("a", "b")
+    for end in ("a", "b"):
+        missed = missed.join(roots.withColumnRenamed("gid", end), end, "left").withColumn(
+            end, F.coalesce("root", end)).drop("root")
+    above = checkpoint(components(missed)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rows = keys.select("doc_id", "gid", "tag").join(roots, "gid", "left").withColumn("root", F.coalesce("root", "gid"))
+    return rows.join(above, "root", "left").select("doc_id", "gid", "tag", F.coalesce("top", "root").alias("root"))
 
 
 def _named(rows: DataFrame) -> DataFrame:

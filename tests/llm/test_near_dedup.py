@@ -82,3 +82,21 @@ def test_components(spark):
     expected = union({n for p in links if p[0] != p[1] for n in p}, links)
     assert {r.node: r.root for r in found} == expected and len(found) == len(expected)
     assert components.components(spark.createDataFrame([], "a long, b long")).select(F.count("*")).first()[0] == 0
+
+
+def changed(words, spots, rng):
+    out = list(words)
+    for at in rng.sample(range(10, len(words) - 10), spots):
+        out[at] = f"x{rng.random()}"
+    return out
+
+
+def test_members_of_a_large_group_whose_only_link_is_to_no_leader(spark):
+    rng = random.Random(8)
+    template = [f"w{rng.randrange(10_000)}" for _ in range(300)]
+    docs = []
+    for k in range(200):  # members are 0.76 alike, each has one partner at 0.8
+        member = changed(template, 4, rng)
+        docs += [(k, " ".join(member)), (1000 + k, " ".join(changed(member, 6, rng)))]
+    rows = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == brute_classes(docs)
