@@ -100,3 +100,15 @@ def test_members_of_a_large_group_whose_only_link_is_to_no_leader(spark):
         docs += [(k, " ".join(member)), (1000 + k, " ".join(changed(member, 6, rng)))]
     rows = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in rows} == brute_classes(docs)
+
+
+def test_copies_that_repeat_a_passage_more_often(spark):
+    rng = random.Random(9)
+    docs = []
+    for k in range(60):
+        passage = " ".join(f"p{k}x{j}" for j in range(24))
+        shared = " ".join(f"s{k}x{j}" for j in range(84))
+        for copy, times in enumerate((1, 50)):
+            docs.append((1000 * copy + k, " ".join([passage] * times + [shared] + [f"o{rng.random()}" for _ in range(3)])))
+    rows = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == brute_classes(docs)
