@@ -101,7 +101,7 @@ _NAMED = [
     ("odbl-1.0", "odbl", ["odbl( v)?( 1 0)?"], []),
     ("odbl-1.0", "database", ["open (data commons )?open database license", "open database license"], []),
     ("pddl-1.0", "pddl", ["pddl( 1 0)?"], []),
-    ("openrail", "openrail", ["(bigscience )?openrail m?"], []),
+    ("openrail", "openrail", ["(bigscience )?openrail( m)?"], []),
     ("cc0-1.0", "cc0", ["cc0( 1 0)?"], []),
     ("cc0-1.0", "zero", ["creative commons zero", "cc zero"], []),
 ]

@@ -48,3 +48,9 @@ def test_containment_suppresses():
 
 def test_empty(none):
     assert licenses.scan(none).count() == 0
+
+
+def test_a_rule_with_an_optional_last_word_matches_without_it():
+    scanner = licenses.Scanner()
+    for text in ("OpenRAIL", "BigScience OpenRAIL-M", "licensed under OpenRAIL"):
+        assert "openrail" in scanner.scan(text)[5].split(","), text
