@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import binary_output, chat, fingerprints, licenses, near_dedup, packing, pii, quality, sharding, transducer
+from shelfmark.llm import (
+    alignment, binary_output, chat, fingerprints, licenses, near_dedup, negatives, neighbours, packing, pii, quality, sharding,
+    transducer,
+)
 from shelfmark.llm.common import documents
 
 
@@ -71,6 +74,24 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(embeddings(spark, sf_dir), F.col("vec_id") % 20 == 0)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(documents(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh id has another label first, so that some near rows count as different."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(embeddings(spark, sf_dir).withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_binary_output": op1_binary_output,
     "op2_chat_format": op2_chat_format,
@@ -82,4 +103,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_personal_data": op9_personal_data,
     "op10_pack": op10_pack,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
