@@ -8,7 +8,7 @@ gets an equal share of the sample. The lists' centroids are linked to a graph of
 memory, from a few entries, wave by wave. Both are bounded (``MOST_LISTS``), however many vectors there are.
 
 Index. Every vector goes to its nearest list, and boundary vectors to more: to lists not much farther than the nearest one
-(``BOUNDARY``), unless a list chosen before is nearer to the new centroid than the vector is.
+(``BOUNDARY``, at most ``REPLICAS``).
 
 Search. A query reads the lists whose centroid is at most ``ratio`` times as far as its nearest centroid, at least
 ``LEAST_LISTS``, and more until they hold enough vectors. The ratio is measured on the sample: the one at which ``TARGET``
@@ -33,19 +33,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelfmark.llm.common import checkpoint, hash_sample, list_array, map_columns, written
+from shelfmark.llm.common import checkpoint, hash_sample, let, list_array, map_columns, written
 from shelfmark.llm.vectors import NO_ID, blocks, finite, matrix, meet, numbers, one_length
 
 K = 20
 #: Vectors that the lists are fitted on; vectors of a list that are aimed at; most lists.
 SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 512, 8_192
 #: How much farther than the nearest list another may be to get a copy, and most lists of one vector.
-BOUNDARY, REPLICAS = 1.05, 3
-LEAST_LISTS, TARGET = 4, 0.97
+BOUNDARY, REPLICAS = 1.01, 3
+LEAST_LISTS, TARGET = 4, 0.95
 #: Neighbours of a centroid in the graph, entries and shortest queue of a search.
 DEGREE, ENTRIES, QUEUE = 24, 16, 24
 #: Vectors and queries that meet in one piece of work.
-CHUNK, BLOCK = 2_048, 1_024
+CHUNK, BLOCK = 2_048, 2_048
 ASKED = 256
 
 
@@ -167,16 +167,10 @@ class Lists:
         out = []
         for low in range(0, len(vectors), 256):
             found = self.search(self.lift(vectors[low:low + 256]), BOUNDARY, 1)
-            near = np.argsort(found, axis=1, kind="stable")[:, :4 * REPLICAS]
+            near = np.argsort(found, axis=1, kind="stable")[:, :REPLICAS]
             for row, picks in zip(found, near, strict=True):
-                chosen = [int(picks[0])]
-                for j in picks[1:].tolist():
-                    if len(chosen) == REPLICAS or row[j] > BOUNDARY * row[picks[0]]:
-                        break
-                    apart = self.centroids[chosen] - self.centroids[j]
-                    if (np.sqrt((apart * apart).sum(axis=1)) >= row[j]).all():
-                        chosen.append(j)
-                out.append(np.array(chosen, np.int64))
+                chosen = picks[row[picks] <= BOUNDARY * row[picks[0]]]
+                out.append(chosen)
         return out
 
     def reads(self, vectors: np.ndarray, rows: np.ndarray, k: int) -> list[np.ndarray]:
@@ -225,12 +219,35 @@ def _ratio(lists: Lists, sample: np.ndarray, k: int) -> float:
     return float(needed[min(len(needed) - 1, math.ceil(TARGET * len(needed)))]) * (1 + 1e-9)
 
 
-def _best(score: np.ndarray, k: int) -> np.ndarray:
-    """Numbers of the k largest scores and of all that rounding may have put below them."""
-    if len(score) <= k:
-        return np.arange(len(score))
-    floor = np.partition(score, len(score) - k)[len(score) - k]
-    return np.flatnonzero(score >= floor - 1e-9 * max(1.0, abs(floor)))
+def _exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Products of pairs, multiplied one by one: equal whatever the vectors around, so ties are ties."""
+    return (queries * vectors).sum(axis=-1)
+
+
+def _top(queries: np.ndarray, x: np.ndarray, many: np.ndarray, place: np.ndarray, tag: np.ndarray, k: int) -> list[tuple]:
+    """The first k rows for each query: score with the sign changed, id, row. ``many``: rows of each vector."""
+    ends = np.concatenate([[0], np.cumsum(many)])
+    out: list[tuple] = []
+    for low in range(0, len(queries), 128):
+        q = queries[low:low + 128]
+        score = q @ x.T
+        spare = min(len(x), k + 4)
+        near = np.argpartition(-score, spare - 1, axis=1)[:, :spare]
+        kth = np.partition(np.take_along_axis(score, near, axis=1), max(0, spare - k), axis=1)[:, max(0, spare - k)]
+        # What rounding may have put below the k-th has to be among those looked at.
+        floor = kth - 1e-9 * np.maximum(1.0, np.abs(kth))
+        simple = (score >= floor[:, None]).sum(axis=1) <= spare if spare < len(x) else np.ones(len(q), bool)
+        minus = -_exact(q[:, None, :], x[near])
+        for i, ok in enumerate(simple.tolist()):
+            at, own = (near[i], minus[i]) if ok else (f := np.flatnonzero(score[i] >= floor[i]), -_exact(q[i], x[f]))
+            if len(place) > len(x):
+                spots = np.concatenate([np.arange(ends[j], ends[j + 1]) for j in at.tolist()])
+                own = np.repeat(own, many[at])
+            else:
+                spots = at
+            first = np.lexsort((tag[spots], place[spots], own))[:k]
+            out.append((own[first], place[spots[first]], tag[spots[first]]))
+    return out
 
 
 def _taking_part(rows: DataFrame, query: Column, id_column: str, vector: str) -> DataFrame:
@@ -278,8 +295,9 @@ def nearest(
     probes = written(map_columns(asked.select("gid", "v"), lambda b: ((g, v, *reads(v)) for g, v in b),
                                  f"gid {vectors.schema['gid'].dataType.simpleString()}, v array<double>, lists array<long>"))
     found = _meetings(posted, probes, k)
-    salted = found.groupBy("gid", F.pmod(F.xxhash64("unit"), F.lit(32)).alias("s")).agg(_merged(F.collect_list("hits"), k))
-    best = salted.groupBy("gid").agg(_merged(F.collect_list("hits"), k))
+    salted = found.groupBy("gid", F.pmod(F.xxhash64("unit"), F.lit(32)).alias("s")).agg(F.collect_list("hits").alias("lists"))
+    best = salted.select("gid", _merged("lists", k)).groupBy("gid").agg(F.collect_list("hits").alias("lists")).select(
+        "gid", _merged("lists", k))
     answer = base.where("asks").select("gid", "id", "tag").join(best, "gid")
     others = F.slice(F.filter("hits", lambda h: h["tag"] != F.col("tag")), 1, k)
     return answer.select(F.col("id").alias("query_id"), F.posexplode(others).alias("at", "hit")).select(
@@ -287,9 +305,11 @@ def nearest(
         F.when(F.col("hit.place") != NO_ID, F.col("hit.place")).alias("vec_id"), (-F.col("hit.minus")).alias("score"))
 
 
-def _merged(lists: Column, k: int) -> Column:
+def _merged(lists: str, k: int) -> Column:
     """The first k + 1 hits of several lists; a row that was met in two lists counts once."""
-    return F.slice(F.sort_array(F.array_distinct(F.flatten(lists))), 1, k + 1).alias("hits")
+    ordered = let(F.sort_array(F.flatten(lists)), lambda hits: F.filter(
+        hits, lambda h, i: (i == 0) | (h["tag"] != F.coalesce(F.get(hits, i - 1)["tag"], F.lit(-1)))))
+    return F.slice(ordered, 1, k + 1).alias("hits")
 
 
 def _meetings(posted: DataFrame, probes: DataFrame, k: int) -> DataFrame:
@@ -308,20 +328,9 @@ def _meetings(posted: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     def work(vectors: pa.Table, queries: pa.Table) -> list:
         x, q = matrix(vectors["v"]), matrix(queries["v"])
         members = vectors["rows"].combine_chunks()
-        ends = members.offsets.to_numpy()
-        ends = ends - ends[0]
         flat = members.flatten()
-        place, tag = flat.field("place").to_numpy(), flat.field("tag").to_numpy()
-        many = np.diff(ends)
-        out: list[tuple] = []
-        for i, score in enumerate(q @ x.T):
-            at = _best(score, k + 1)
-            # Multiplied again one by one: equal whatever the vectors around, so ties are ties.
-            exact = (x[at] * q[i]).sum(axis=1)
-            spots = np.concatenate([np.arange(ends[j], ends[j + 1]) for j in at.tolist()])
-            minus = -np.repeat(exact, many[at])
-            first = np.lexsort((tag[spots], place[spots], minus))[:k + 1]
-            out.append((minus[first], place[spots[first]], tag[spots[first]]))
+        many = np.diff(members.offsets.to_numpy())
+        out = _top(q, x, many, flat.field("place").to_numpy(), flat.field("tag").to_numpy(), k + 1)
         cells = pa.StructArray.from_arrays(
             [pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], ["minus", "place", "tag"])
         offsets = np.concatenate([[0], np.cumsum([len(o[0]) for o in out])]).astype(np.int32)

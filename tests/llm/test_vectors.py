@@ -144,3 +144,11 @@ def test_large_components(spark):
     assert got and all(r.negative_score == sum(a * b for a, b in zip(vectors[r.anchor_id], vectors[r.negative_id])) for r in got)
     with pytest.raises(ValueError):
         negatives.mine(table(spark, [(0, [1e30, 1.0], 0)]), F.lit(True))
+
+
+def test_boundary_vectors_are_in_several_lists():
+    centroids = np.array([[0.0, 0.0], [2.0, 0.0], [1.0, 2.0]])
+    lists = neighbours.Lists(np.hstack([centroids, np.zeros((3, 1))]), neighbours.near_graph(centroids), 1.0, 10.0)
+    lists.lift = lambda v: np.hstack([v, np.zeros((len(v), 1))])
+    homes = lists.homes(np.array([[0.1, 0.0], [1.0, -0.2], [1.0, 0.75]]))
+    assert [sorted(h.tolist()) for h in homes] == [[0], [0, 1], [0, 1, 2]]
