@@ -10,15 +10,19 @@ Banding. Registers are joined to bands; texts that agree in a whole band share a
 others of a bucket: each bucket, and each meeting of two buckets, names leaders, its most central text (the one whose
 buckets hold most texts) and two by hash, and the members are compared with these.
 
-Verification. A pair counts if the Jaccard similarity of the whole sets of shingles is 0.8 or more. Classes are the
-connected components of such pairs and of equal texts. Leaders find nearly all of them.
+Before that, texts that cannot have a partner are put aside: a text takes part only if enough of its shingles are in
+other texts too (``prefix_join.covered``, which misses none).
 
-Rest. What buckets and leaders have missed is found by a prefix filter over all texts (``prefix_join``): all pairs of
+Verification. A pair counts if the Jaccard similarity of the whole sets of shingles (64-bit hashes) is 0.8 or more.
+Classes are the connected components of such pairs and of equal texts. Leaders find nearly all of them.
+
+Rest. What buckets and leaders have missed is found by a prefix filter (``prefix_join.pairs_across``): all pairs of
 texts that are still in different classes and may be alike are verified too, so that no link depends on a chance.
 
 Words are what ASCII blanks, punctuation and control characters leave, in lower case. A text of fewer than five words is
 one shingle of them all. Null texts are empty. Equal texts are one class always, empty ones too; texts count as equal if
-their 64-bit hashes are.
+their 64-bit hashes are. Very long texts are taken whole. Of rows that repeat an id and a text one stays. An empty table
+gives no rows. Columns besides ``doc_id`` and ``text`` are not looked at, whatever their names, and stay as they are.
 """
 
 from __future__ import annotations
@@ -30,10 +34,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.llm.common import checkpoint, free_name, kept, list_array, map_columns, texts_of
+from shelfmark.llm.common import checkpoint, free_name, kept, list_array, map_columns, texts_of, written
 from shelfmark.llm.components import components
-from shelfmark.llm.fingerprints import hashes, words
-from shelfmark.llm.prefix_join import pairs_across, prefix
+from shelfmark.llm.prefix_join import covered, first_part, pairs_across
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -43,8 +46,8 @@ REGISTERS = BANDS * ROWS
 STRIDES = (1, 7)
 #: Leaders of a bucket besides its most central text, by a hash of text and bucket, so that buckets differ in them.
 OTHERS = 2
-#: Texts that are asked, about, which shingles are common, and most shingles they may name. Only the order hangs on it.
-SAMPLE_TEXTS, COMMON = 10_000, 1 << 17
+#: Share of a text's shingles that must be found in other texts, among the smallest that are looked at first.
+MORE = 0.1
 BATCH_TEXTS, BATCH_CHARS = 500, 2_000_000
 POINTS = 1 << 16
 _BREAKS = bytes(32 if c < 48 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 127 else c for c in range(256))
@@ -129,30 +132,11 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most common shingles and in how many texts of a sample by hash they are."""
-    share = min(1.0, SAMPLE_TEXTS / max(1, docs.count()))
-    asked = docs.select(text_hash().alias("gid"), "text").where(
-        F.pmod(F.xxhash64("gid"), F.lit(1 << 40)) < int(share * (1 << 40))).dropDuplicates(["gid"])
-
-    def work(texts: pa.Array) -> tuple:
-        known = kept("word hashes", WordHashes)
-        return (list_array([shingles(t, known)[0].view(np.int64) for t in texts_of(texts)], pa.int64()),)
-
-    found = map_columns(asked.select("text"), lambda batches: map(lambda b: work(*b), batches), "found array<bigint>")
-    counted = found.select(F.explode("found").alias("shingle")).groupBy("shingle").count().where("count > 2")
-    most = counted.orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
-    names = most["shingle"].to_numpy().view(np.uint64)
-    order = np.argsort(names)
-    return names[order], np.minimum(most["count"].to_numpy()[order], 32_000).astype(np.int16)
-
-
 def banded(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id``, the text's hash ``gid``, its ``bands``, ``prefix`` and number ``n`` of distinct shingles.
+    """``doc_id``, the text's hash ``gid``, its ``bands``, number ``n`` of distinct shingles and the smallest of them.
 
-    Texts without words have no bands and no prefix.
+    Texts without words have no bands and no shingles.
     """
-    common = common_shingles(docs)
 
     def work(texts: pa.Array) -> tuple:
         known = kept("word hashes", WordHashes)
@@ -167,7 +151,7 @@ def banded(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             if pending:
                 keys = band_keys(sketches(pending))
                 out.extend(k if len(s[0]) else k[:0] for k, s in zip(keys, pending, strict=True))
-                firsts.extend(prefix(s[0], common, similarity) for s in pending)
+                firsts.extend(first_part(s[0], similarity, MORE).view(np.int32) for s in pending)
                 sizes.extend(len(s[0]) for s in pending)
             pending.clear()
             size = 0
@@ -181,7 +165,7 @@ def banded(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return list_array(out, pa.int64()), list_array(firsts, pa.int32()), sizes
 
     return map_columns(docs.select("doc_id", text_hash().alias("gid"), "text"), work,
-                       "bands array<bigint>, prefix array<int>, n int", carry=["doc_id", "gid"])
+                       "bands array<bigint>, tokens array<int>, n int", carry=["doc_id", "gid"])
 
 
 def candidates(texts: DataFrame) -> DataFrame:
@@ -212,19 +196,27 @@ def candidates(texts: DataFrame) -> DataFrame:
         "gid <> b").select(F.col("gid").alias("a"), "b").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, bearers: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose texts are alike, with their ``jaccard`` similarity over whole texts.
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``gid``, ``n`` and the whole ``set`` of 64-bit shingle hashes of the texts that ``wanted`` names.
 
-    ``bearers`` names one document (``gid``, ``doc_id``) for each text, so that copies are not read again and again.
+    ``wanted`` has one document (``gid``, ``doc_id``) for each text, so that copies are not read again and again.
     """
-    pairs = checkpoint(pairs)
-    named = pairs.select(F.col("a").alias("gid")).unionByName(pairs.select(F.col("b").alias("gid"))).distinct()
-    wanted = bearers.join(named, "gid", "left_semi").select(F.col("gid").alias("g"), F.col("doc_id").alias("i"))
+    bearers = wanted.select(F.col("gid").alias("g"), F.col("doc_id").alias("i"))
     texts = docs.select("doc_id", text_hash().alias("gid"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(wanted, (F.col("gid") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
-    split = texts.select("gid", F.inline(F.array(F.struct(words(F.col("text")).alias("words")))))
+    texts = texts.join(bearers, (F.col("gid") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
     # A document may be there twice with the same id.
-    sets = checkpoint(split.select("gid", F.array_distinct(hashes(F.col("words"))).alias("set")).dropDuplicates(["gid"]))
+    texts = texts.select("gid", "text").dropDuplicates(["gid"])
+
+    def work(column: pa.Array) -> tuple:
+        known = kept("word hashes", WordHashes)
+        sets = [shingles(t, known)[0].view(np.int64) for t in texts_of(column)]
+        return [len(x) for x in sets], list_array(sets, pa.int64())
+
+    return written(map_columns(texts, work, "n int, set array<bigint>", carry=["gid"]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose texts are alike, with their ``jaccard`` similarity over whole texts."""
     left = pairs.join(sets.select(F.col("gid").alias("a"), F.col("set").alias("mine")), "a")
     both = left.join(sets.select(F.col("gid").alias("b"), F.col("set").alias("theirs")), "b")
     common = F.size(F.array_intersect("mine", "theirs"))
@@ -236,13 +228,16 @@ def verified(pairs: DataFrame, docs: DataFrame, bearers: DataFrame, similarity:
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``gid``, ``tag`` (tells rows apart) and ``root`` of its class."""
     keys = checkpoint(banded(docs, similarity).withColumn("tag", F.monotonically_increasing_id()))
-    texts = keys.where(F.size("bands") > 0).groupBy("gid").agg(F.first("bands").alias("bands"))
-    bearers = keys.groupBy("gid").agg(F.min("doc_id").alias("doc_id"))
-    roots = checkpoint(components(verified(candidates(texts), docs, bearers, similarity)))
-    roots = roots.withColumnRenamed("node", "gid")
-    sets = keys.where("n > 0").groupBy("gid").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"))
-    sets = sets.join(roots, "gid", "left").withColumn("root", F.coalesce("root", "gid"))
-    missed = verified(pairs_across(sets, similarity), docs, bearers, similarity).select("a", "b")
+    texts = keys.where("n > 0").groupBy("gid").agg(
+        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    texts = written(texts)
+    partners = covered(texts.select("gid", F.col("gid").alias("root"), "n", "tokens"), similarity)
+    texts = written(texts.drop("tokens").join(partners, "gid"))
+    sets = shingle_sets(docs, texts)
+    roots = checkpoint(components(verified(candidates(texts), sets, similarity))).withColumnRenamed("node", "gid")
+    whole = sets.select("gid", "n", F.transform("set", lambda h: F.shiftright(h, 32).cast("int")).alias("tokens"))
+    whole = whole.join(roots, "gid", "left").withColumn("root", F.coalesce("root", "gid"))
+    missed = verified(pairs_across(whole, similarity), sets, similarity).select("a", "b")
     for end in ("a", "b"):
         missed = missed.join(roots.withColumnRenamed("gid", end), end, "left").withColumn(
             end, F.coalesce("root", end)).drop("root")

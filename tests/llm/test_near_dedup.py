@@ -1,12 +1,12 @@
 import itertools
 import random
+import re
 
-import brute_llm
 import numpy as np
 from odd_rows import ODD
 from pyspark.sql import functions as F
 
-from shelfmark.llm import components, near_dedup
+from shelfmark.llm import components, near_dedup, prefix_join
 
 
 def union(nodes, links):
@@ -22,8 +22,13 @@ def union(nodes, links):
     return {n: find(n) for n in nodes}
 
 
+def whole_shingles(text):
+    words = [w for w in re.split("[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+", (text or "").lower()) if w]
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def brute_classes(docs, similarity=0.8):
-    sets = {i: brute_llm.shingle_hashes(t) for i, t in docs}
+    sets = {i: whole_shingles(t) for i, t in docs}
     texts = {i: t or "" for i, t in docs}
     links = [(a, b) for a, b in itertools.combinations(sets, 2)
              if texts[a] == texts[b] or (sets[a] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]))]
@@ -112,3 +117,38 @@ def test_copies_that_repeat_a_passage_more_often(spark):
             docs.append((1000 * copy + k, " ".join([passage] * times + [shared] + [f"o{rng.random()}" for _ in range(3)])))
     rows = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in rows} == brute_classes(docs)
+
+
+def test_filters_keep_every_pair(spark, monkeypatch):
+    """Whatever the packs and ranges, all pairs of different classes that are alike come out."""
+    monkeypatch.setattr(prefix_join, "PACK_SETS", 7)
+    monkeypatch.setattr(prefix_join, "RANGE_TOKENS", 64)
+    rng = np.random.default_rng(6)
+    base = rng.integers(-2**31, 2**31, 400)
+    sets = []
+    for _ in range(150):
+        size = int(rng.integers(3, 40))
+        own = set(base[rng.integers(0, 8) * 40:][:size].tolist())
+        own |= {int(base[rng.integers(0, 400)]) for _ in range(rng.integers(0, 4))}
+        sets.append(sorted(own))
+    roots = [int(rng.integers(0, 60)) for _ in sets]
+    rows = spark.createDataFrame([(i, roots[i], len(s), s) for i, s in enumerate(sets)],
+                                 "gid long, root long, n int, tokens array<int>").repartition(3)
+    alike = {(i, j) for i in range(150) for j in range(150)
+             if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    across = {frozenset(p) for p in alike if roots[p[0]] != roots[p[1]]}
+    found = {frozenset(r) for r in prefix_join.pairs_across(rows, 0.8).collect()}
+    assert across and across <= found and len(found) < 3 * len(across)
+    singles = rows.withColumn("root", F.col("gid"))
+    kept = {r.gid for r in prefix_join.covered(singles, 0.8).collect()}
+    assert {i for i, j in alike if i != j} <= kept
+    assert {r.gid for r in prefix_join.covered(rows, 0.8).collect()} >= {i for p in across for i in p}
+
+
+def test_first_part_has_the_need_inside():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 5, 17, 100):
+        found = np.unique(rng.integers(0, 2**62, n).astype(np.uint64))
+        part = prefix_join.first_part(found, 0.8, 0.1)
+        assert len(part) == min(n, n - int(np.ceil(0.8 * n - 1e-6)) + 1 + int(0.1 * n))
+        assert set(part.tolist()) <= set((found >> np.uint64(32)).tolist())

@@ -38,4 +38,4 @@ def test_odd_rows_pass_every_stage(spark, odd, tmp_path):
 def test_registered():
     found = __spark_entry__.queries()
     assert set(QUERIES) <= set(found) and "pipeline" in found and os.path.exists(corpus_pipeline.__file__)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
