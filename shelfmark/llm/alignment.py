@@ -29,9 +29,9 @@ from shelfmark.llm.common import kept, list_array, map_columns, texts_of, writte
 
 #: Most pairs that travel to all tasks (20 bytes each).
 COMMON = 1 << 17
-#: Characters and texts of a batch; windows and ids that a worker remembers. They change speed and never results.
+#: Characters and texts of a batch; windows and bytes of links that a worker remembers. They change speed, never results.
 BATCH_CHARS, BATCH_TEXTS = 3_000_000, 1_000
-WINDOWS, WINDOW_IDS = 300_000, 4_000_000
+WINDOWS, WINDOW_BYTES = 400_000, 32_000_000
 _BITS = 16
 
 
@@ -79,16 +79,19 @@ class Aligner:
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
-        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << _BITS:
-            raise ValueError("vocabularies of more than 65,536 ids are not supported")
+        if max(len(self.a_bytes), len(self.b_bytes)) >= 1 << _BITS:
+            raise ValueError("vocabularies of 65,536 ids or more are not supported")
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.a_blank, self.b_blank = (np.array([x[:1] == b" " for x in t]) for t in (self.a_bytes, self.b_bytes))
+        # Ids as text with the sign behind: in a group, behind its last id of A, and the same for B.
+        self.signed = [f"{i}{sign}" for sign in ",|,;" for i in range(1 << _BITS)]
+        self.signed_size = np.array([len(x) for x in self.signed])
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
+        self.known: dict[bytes, int] = {}
         self.groups: list[str] = []
-        self.pairs: list[np.ndarray] = []
+        self.pairs: list[bytes] = []
         self.held = 0
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
@@ -102,23 +105,6 @@ class Aligner:
             return None
         return np.array(a, np.uint16), np.array(b, np.uint16)
 
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray]:
-        """Groups of one window as text, and the linked pairs of ids (one for each link)."""
-        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        groups = []
-        i0 = j0 = i = j = 0
-        left, right = [], []
-        x, y = a.tolist(), b.tolist()
-        while i < len(x) and j < len(y):
-            left.append(x[i])
-            right.append(y[j])
-            gap = a_end[i] - b_end[j]
-            i, j = i + (gap <= 0), j + (gap >= 0)
-            if gap == 0:
-                groups.append(f"{','.join(map(str, x[i0:i]))}|{','.join(map(str, y[j0:j]))}")
-                i0, j0 = i, j
-        return ";".join(groups), np.array(left, np.int64) << _BITS | np.array(right, np.int64)
-
     def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], int]:
         """Numbers of a text's windows, and how many groups it has."""
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
@@ -126,23 +112,55 @@ class Aligner:
         mark[a_end] = 1
         mark[b_end] += 2
         at_a, at_b = np.flatnonzero(mark[a_end] == 3) + 1, np.flatnonzero(mark[b_end] == 3) + 1
-        ahead = self.a_blank[a[at_a[:-1]]] & self.b_blank[b[at_b[:-1]]]
-        cut_a = (2 * np.append(at_a[:-1][ahead], len(a))).tolist()
-        cut_b = (2 * np.append(at_b[:-1][ahead], len(b))).tolist()
-        ids_a, ids_b, known = a.tobytes(), b.tobytes(), self.known
-        keys = [(ids_a[i:j], ids_b[k:m])
-                for i, j, k, m in zip([0, *cut_a[:-1]], cut_a, [0, *cut_b[:-1]], cut_b, strict=True)]
-        found = list(map(known.get, keys))
+        ahead = np.append(self.a_blank[a[at_a[:-1]]] & self.b_blank[b[at_b[:-1]]], True)
+        # A window's key: its ids of A, a mark, its ids of B.
+        place_a, place_b, cuts = _woven(at_a[ahead], at_b[ahead], 1)
+        woven = np.full(cuts[-1], (1 << _BITS) - 1, np.uint16)
+        woven[place_a], woven[place_b] = a, b
+        data, cuts = woven.tobytes(), (2 * cuts).tolist()
+        keys = [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        found = list(map(self.known.get, keys))
         if None in found:
-            for key in {k for k, n in zip(keys, found, strict=True) if n is None}:
-                known[key] = len(self.groups)
-                text, pairs = self.align(np.frombuffer(key[0], np.uint16), np.frombuffer(key[1], np.uint16))
-                self.groups.append(text)
-                self.pairs.append(pairs)
-                self.held += len(pairs)
-            found = list(map(known.__getitem__, keys))
+            self._align({k: w for w, k in enumerate(keys) if found[w] is None}, a, b, mark, at_a, at_b, np.flatnonzero(ahead))
+            found = list(map(self.known.__getitem__, keys))
         return found, len(at_a)
 
+    def _align(self, new: dict[bytes, int], a: np.ndarray, b: np.ndarray, mark: np.ndarray, at_a: np.ndarray,
+               at_b: np.ndarray, last: np.ndarray) -> None:
+        """Remember new windows (by their number in the text): their groups as text, and a pair of ids for each link.
+
+        ``mark`` has 1 where a token of A ends and 2 where one of B does, ``at_a`` and ``at_b`` where groups end, ``last``
+        the last group of each window. Up to each end, one token of A and one of B are linked.
+        """
+        ends = np.flatnonzero(mark)
+        is_a, is_b = mark[ends] & 1, mark[ends] >> 1
+        links = a[np.cumsum(is_a) - is_a].astype(np.int64) << _BITS | b[np.cumsum(is_b) - is_b]
+        spots = np.concatenate([[0], 8 * (np.flatnonzero(mark[ends] == 3) + 1)[last]]).tolist()
+        data = links.tobytes()
+        # The text of all groups: each id with the sign that follows it.
+        place_a, place_b, cuts = _woven(at_a, at_b, 0)
+        kind_a, kind_b = np.zeros(len(a), np.int64), np.full(len(b), 2)
+        kind_a[at_a - 1], kind_b[at_b - 1] = 1, 3
+        signed = np.zeros(cuts[-1], np.int64)
+        signed[place_a], signed[place_b] = a + (kind_a << _BITS), b + (kind_b << _BITS)
+        text = "".join(map(self.signed.__getitem__, signed.tolist()))
+        far = np.concatenate([[0], np.cumsum(self.signed_size[signed])])[cuts[np.append(0, last + 1)]].tolist()
+        for key, w in new.items():
+            self.known[key] = len(self.groups)
+            self.groups.append(text[far[w]:far[w + 1]])
+            self.pairs.append(data[spots[w]:spots[w + 1]])
+            self.held += spots[w + 1] - spots[w]
+
+
+def _woven(ends_a: np.ndarray, ends_b: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of two sequences cut into runs, so that each run of the first is followed by ``gap`` places and the run of the
+    second, and where each such pair of runs starts and ends."""
+    many_a, many_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
+    run = np.arange(len(ends_a)) * gap
+    place_a = np.arange(ends_a[-1]) + np.repeat(ends_b - many_b + run, many_a)
+    place_b = np.arange(ends_b[-1]) + np.repeat(ends_a + run + gap, many_b)
+    return place_a, place_b, np.concatenate([[0], ends_a + ends_b + run + gap])
+
 
 def aligner(byte_path: str, piece_path: str) -> Aligner:
     return kept(("aligner", byte_path, piece_path), lambda: Aligner(byte_path, piece_path))
@@ -161,7 +179,7 @@ def aligned(docs: DataFrame, byte_path: str | None = None, piece_path: str | Non
     paths = byte_path or paths[0], piece_path or paths[1]
 
     def batch(coder: Aligner, ids: list, texts: list[str]) -> tuple:
-        if len(coder.groups) > WINDOWS or coder.held > WINDOW_IDS:
+        if len(coder.groups) > WINDOWS or coder.held > WINDOW_BYTES:
             coder.forget()
         n_a, n_b, n_groups, digests, used = [], [], [], [], []
         for text in texts:
@@ -173,7 +191,7 @@ def aligned(docs: DataFrame, byte_path: str | None = None, piece_path: str | Non
                     column.append(0)
                 continue
             windows, groups = coder.windows(*found)
-            digests.append(hashlib.sha256(";".join(map(coder.groups.__getitem__, windows)).encode()).hexdigest())
+            digests.append(hashlib.sha256("".join(map(coder.groups.__getitem__, windows))[:-1].encode()).hexdigest())
             used.append(windows)
             n_a.append(len(found[0]))
             n_b.append(len(found[1]))
@@ -181,7 +199,7 @@ def aligned(docs: DataFrame, byte_path: str | None = None, piece_path: str | Non
         pairs, counts, n_links = [], [], []
         for windows in used:
             if windows:
-                links = np.concatenate(list(map(coder.pairs.__getitem__, windows)))
+                links = np.frombuffer(b"".join(map(coder.pairs.__getitem__, windows)), np.int64)
                 keys, times = _counted(links)
                 n_links.append(len(links))
             else:
