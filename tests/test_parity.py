@@ -5,16 +5,17 @@ import os
 
 import pytest
 
-from shelfmark.plans import stored
+from shelfmark.plans import indexed, stored
 from shelfmark.plans.oracle import ORACLE as FIRST_SQL
 from shelfmark.plans.queries import QUERIES as FIRST
 
-ORACLE, QUERIES = {**FIRST_SQL, **stored.ORACLE}, {**FIRST, **stored.QUERIES}
+ORACLE = {**FIRST_SQL, **stored.ORACLE, **indexed.ORACLE}
+QUERIES = {**FIRST, **stored.QUERIES, **indexed.QUERIES}
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
 SOME = ["search_or_not", "canonical_prices", "page_shop_key", "new_keys_per_page", "merge_observations", "rate_limit_active",
-        "plan_crawl", "fuse_boost", "repaired_prices", *stored.QUERIES]
+        "plan_crawl", "fuse_boost", "repaired_prices", *stored.QUERIES, *indexed.QUERIES]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
