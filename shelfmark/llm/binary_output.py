@@ -15,9 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm.common import list_array, map_columns, texts_of
+from shelfmark.llm.common import map_columns, texts_of
 from shelfmark.llm.tokens import chunked, default_path
 
 LENGTH = 2048
@@ -104,27 +104,36 @@ def pack_matrix(
 
         def flush() -> tuple:
             nonlocal made, held
-            rows = best_fit([len(p[2]) for p in pieces], length)
-            ids = np.full((len(rows), length), pad_id, "<u4")
-            positions = np.zeros((len(rows), length), "<u4")
-            cuts, owners, starts = [], [], []
-            for r, items in enumerate(rows):
-                at, cut = 0, [0]
-                for i in items:
-                    part = pieces[i][2]
-                    ids[r, at:at + len(part)] = part
-                    positions[r, at:at + len(part)] = np.arange(len(part))
-                    at += len(part)
-                    cut.append(at)
-                cuts.append(np.array(cut, np.int32))
-                owners.append([pieces[i][0] for i in items])
-                starts.append(np.array([pieces[i][1] for i in items], np.int64))
+            sizes = np.array([len(p[2]) for p in pieces])
+            rows = best_fit(sizes.tolist(), length)
+            many = np.array([len(r) for r in rows])
+            order = np.fromiter((i for r in rows for i in r), np.int64, len(pieces))
+            size = sizes[order]
+            ends = np.cumsum(size)
+            row_ends = np.cumsum(many)
+            # Ends of the segments within their rows, and where each segment starts in the whole block.
+            within = ends - np.repeat(np.concatenate([[0], ends[row_ends[:-1] - 1]]), many)
+            start = np.repeat(np.arange(len(rows)) * length, many) + within - size
+            position = np.arange(ends[-1]) - np.repeat(ends - size, size)
+            spot = position + np.repeat(start, size)
+            ids, positions = np.full(len(rows) * length, pad_id, "<u4"), np.zeros(len(rows) * length, "<u4")
+            ids[spot] = np.concatenate([pieces[i][2] for i in order])
+            positions[spot] = position
+            used = within[row_ends - 1]
+            # Each row's cumulative lengths: 0, then the ends of its segments.
+            firsts = row_ends - many + np.arange(len(rows))
+            cuts = np.zeros(len(order) + len(rows), np.int32)
+            cuts[np.arange(len(order)) + np.repeat(np.arange(len(rows)), many) + 1] = within
+            owners = pa.array([pieces[i][0] for i in order])
+            starts = pa.array(np.fromiter((pieces[i][1] for i in order), np.int64, len(order)))
+            seams = pa.array(np.append(row_ends - many, len(order)), pa.int32())
             names = np.arange(made, made + len(rows))
             made += len(rows)
             pieces.clear()
             held = 0
-            return (names, [x.tobytes() for x in ids], [x.tobytes() for x in positions], [int(c[-1]) for c in cuts],
-                    list_array(cuts, pa.int32()), owners, list_array(starts, pa.int64()))
+            return (names, _cells(ids, length), _cells(positions, length), used,
+                    pa.ListArray.from_arrays(pa.array(np.append(firsts, len(cuts)), pa.int32()), pa.array(cuts)),
+                    pa.ListArray.from_arrays(seams, owners), pa.ListArray.from_arrays(seams, starts))
 
         for doc_ids, texts in batches:
             for low in range(0, len(texts), 500):
@@ -146,11 +155,22 @@ def pack_matrix(
         f"doc_ids array<{kind}>, starts array<long>")
 
 
+def _cells(values: np.ndarray, length: int) -> pa.Array:
+    """The rows of a matrix of 32-bit numbers as binary cells, all in one buffer."""
+    ends = pa.array(np.arange(0, 4 * len(values) + 1, 4 * length), pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(values) // length, [None, ends.buffers()[1], pa.py_buffer(values)])
+
+
 def write_matrix(packed: DataFrame, path: str) -> None:
     """Write the matrix rows as Parquet: fixed-width binary rows beside their segment lengths and owners."""
     packed.write.option("compression", "zstd").parquet(path)
 
 
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that :func:`write_matrix` wrote."""
+    return spark.read.parquet(path)
+
+
 def segments(packed: DataFrame) -> DataFrame:
     """A row per segment: its document, start, place in the matrix and length. The inverse view of packing."""
     spots = F.expr("transform(doc_ids, (d, i) -> struct(d AS doc_id, starts[i] AS start, cu_lengths[i] AS offset, "

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from odd_rows import ODD
 
@@ -88,3 +89,20 @@ def test_matrix_holds_every_id(odd):
         expected = sorted((s, v[s:s + 128]) for (j, _), v in zip(ODD, ids, strict=True) if j == i for s in range(0, len(v), 128))
         assert sorted(got[i]) == expected
     assert binary_output.segments(packed).count() == sum(map(len, got.values()))
+
+
+def test_matrix_is_written_and_read_back(spark, odd, tmp_path):
+    path = str(tmp_path / "matrix")
+    packed = binary_output.pack_matrix(odd, length=128)
+    binary_output.write_matrix(packed, path)
+    columns = ["ids", "positions", "used", "cu_lengths", "doc_ids", "starts"]
+    read = binary_output.read_matrix(spark, path)
+    assert sorted(read.columns) == sorted(packed.columns)
+    rows = sorted(map(repr, map(tuple, read.select(*columns).collect())))
+    assert rows == sorted(map(repr, map(tuple, packed.select(*columns).collect()))) and len(rows) > 100
+    # What a trainer reads: the file's binary cells are the matrix.
+    table = pq.read_table(path)
+    matrix = np.stack([np.frombuffer(x.as_py(), "<u4") for x in table["ids"]])
+    assert matrix.shape == (len(rows), 128)
+    total = sum(len(x) + 1 for x in reference([t or "" for _, t in ODD]))
+    assert sum(table["used"].to_pylist()) == total == binary_output.segments(read).agg({"length": "sum"}).first()[0]
