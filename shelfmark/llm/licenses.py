@@ -150,8 +150,8 @@ _TEXTS = [
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 1, 0.99),
     ("zlib", "misrepresented", "the origin of this software must not be misrepresented", 1, 0.95),
     ("bsl-1.0", "boost", "www boost org license 1 0", 1, 0.98),
-    ("wtfpl", "wtfpl", "do what the fuck you want to public license", 1, 0.98),
-    ("eula", "eula", "end user licen[cs]e agreement", 4, 0.7),
+    ("wtfpl", "want", "do what the fuck you want to public license", 1, 0.98),
+    ("eula", "agreement", "end user licen[cs]e agreement", 4, 0.7),
 ]
 
 
