@@ -371,7 +371,7 @@ ORACLE = {
     "signature_neighbours": f"""WITH {SIG}, q AS (SELECT bits AS qb, hist AS qh, ratio AS qr FROM sig ORDER BY id LIMIT 1),
           s AS (SELECT id, round((1 - list_sum(list_transform(range(1, 65), lambda n: CASE WHEN bits[n] <> qb[n] THEN 1 ELSE 0 END)) / 64.0) * 0.74
             + list_sum(list_transform(range(1, 17), lambda k: least(hist[k], qh[k]))) * 0.21
-            + greatest(0, 1 - abs(ln(greatest(ratio, 0.01) / greatest(qr, 0.01))) / ln(2.4)) * 0.05, 6) AS score FROM sig, q)
+            + greatest(0, 1 - abs(ln(greatest(ratio, 0.01) / greatest(qr, 0.01))) / ln(2.4)) * 0.05, 9) AS score FROM sig, q)
         SELECT id, score FROM s""",
     "token_edit_pairs": f"WITH {DICT} SELECT term, token, CAST(lev AS INTEGER) AS distance FROM pairs WHERE lev <= 2 AND substr(term, 1, 1) = substr(token, 1, 1)",
     "token_dice_pairs": f"WITH {DICT} SELECT term, token, round(dice, 6) AS dice FROM diced WHERE dice >= 0.5",

@@ -492,7 +492,7 @@ def signature_neighbours(spark, sf):
     first = s.agg(F.min_by(F.struct("hash", "hist", "ratio"), "id").alias("q")).scalar()
     s = X.compute_once(s, {"q": first})
     score = I.signature_similarity("hash", "hist", "ratio", "q.hash", "q.hist", "q.ratio")
-    return s.select("id", F.round(score, 6).alias("score"))
+    return s.select("id", F.round(score, 9).alias("score"))
 
 
 # ---------------------------------------------------------------- fuzzy ranking

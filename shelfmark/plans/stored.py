@@ -71,19 +71,45 @@ MANIFEST_SQL = f"""SELECT p_brand AS shop, count(*) AS listings, min(replace({_T
   'completed' AS status FROM part GROUP BY p_brand"""
 
 
+def _file(spark: SparkSession, source: str, target: str) -> None:
+    """Give the one part file below ``source`` a name of its own, as other programs would have written it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(source)
+    fs = place.getFileSystem(conf)
+    part = next(f.getPath() for f in fs.listStatus(place) if f.getPath().getName().startswith("part-"))
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(target).getParent())
+    fs.rename(part, jvm.org.apache.hadoop.fs.Path(target))
+
+
 def loaded_sources(spark, sf):
-    """Tables in a shop's folder, in the collected-data folder and in a system folder, which does not count."""
-    root = _folder(spark)
-    rows = _parts(spark, sf)
-    for tail, folder in (("1", "One"), ("2", "scraped data/Two"), ("3", "Three/deep"), ("4", "src")):
-        sinks.write_listing_csv(rows.filter(F.substring("shop", -1, 1) == tail).drop("shop"), f"{root}/{folder}")
+    """All parts, by the last digit of their brand, as the files a data root can hold.
+
+    Tables in a shop's folder, in the collected-data folder and loose in both roots; a folder with a manifest, whose table
+    must not count, and one with a manifest alone; a system folder, which does not count; and a damaged manifest.
+    """
+    root, aside = _folder(spark), _folder(spark)
+    rows = _parts(spark, sf).withColumn("digit", F.substring("shop", -1, 1))
+    for digits, folder in (("78", ""), ("90", "/scraped data"), ("1", "/One"), ("2", "/scraped data/Two"), ("3", "/Three/deep"), ("4", "/src"),
+                           ("5", "/Five")):
+        sinks.write_listing_csv(rows.filter(F.col("digit").isin(*digits)).drop("shop", "digit"), root + folder)
+    for digit, shop in (("5", "Five"), ("6", "Six")):
+        mine = rows.filter(F.col("digit") == digit).drop("digit").withColumn("shop", F.lit(shop))
+        meta = mine.select("shop", F.lit("https://shop.example.com").alias("source_url")).distinct()
+        texts = sinks.shop_manifests(mine, meta, fx.RATES, per_manifest=1 << 30).select("value")
+        texts.coalesce(1).write.text(f"{aside}/{shop}")
+        _file(spark, f"{aside}/{shop}", f"{root}/{shop}/manifest.json")
+    spark.range(1).select(F.lit('{"rows": [{"title": ').alias("value")).coalesce(1).write.text(f"{aside}/Broken")
+    _file(spark, f"{aside}/Broken", f"{root}/Broken/manifest.json")
     found, errors, _ = load_sources(spark, root)
     return found.groupBy("shop", "kind").agg(F.count("*").alias("listings")).unionByName(
         errors.select(F.col("source_file").alias("shop"), F.col("error").alias("kind"), F.lit(0).cast("long").alias("listings")))
 
 
-LOADED_SQL = """SELECT CASE right(p_brand, 1) WHEN '1' THEN 'One' WHEN '2' THEN 'Two' ELSE 'Three' END AS shop, 'table' AS kind, count(*) AS listings
-FROM part WHERE right(p_brand, 1) IN ('1', '2', '3') GROUP BY 1"""
+LOADED_SQL = """SELECT CASE right(p_brand, 1) WHEN '1' THEN 'One' WHEN '2' THEN 'Two' WHEN '3' THEN 'Three' WHEN '5' THEN 'Five' WHEN '6' THEN 'Six'
+    WHEN '9' THEN 'scraped data' WHEN '0' THEN 'scraped data' ELSE 'workspace' END AS shop,
+  CASE WHEN right(p_brand, 1) IN ('5', '6') THEN 'manifest' ELSE 'table' END AS kind, count(*) AS listings
+FROM part WHERE right(p_brand, 1) <> '4' GROUP BY 1, 2
+UNION ALL SELECT 'Broken/manifest.json', 'not a JSON manifest', 0"""
 
 
 def stored_index(spark, sf):
