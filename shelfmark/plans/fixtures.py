@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.price import Rates
 from ..operators.crawl import sequence_number
 from ..operators.listings import index_listings, index_rich, normalize_listings
+from ..operators.postings import load_rich, save_rich
+from ..session import shared_dir
 
 RATES = Rates(1.37, 0.19, "fixture", "2024-01-02")
 
@@ -68,6 +72,19 @@ def rich_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_rich(listings(spark, sf_dir))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_rich(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The rich index and its postings, stored in buckets once for a session, as a catalogue has them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/rich-{uuid.uuid4().hex}"
+        save_rich(rich_index(spark, sf_dir), path)
+        _STORED[key] = path
+    return load_rich(spark, _STORED[key])
+
+
 def crawl_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as sightings in ten shops, 20 to a page, with repeating keys."""
     events = table(spark, sf_dir, "events")

@@ -547,14 +547,15 @@ def synonym_terms(spark, sf):
 
 def _ranked(text: str, score):
     def run(spark, sf):
-        found = scoring.rank_rich(fx.rich_index(spark, sf), compile_clauses(text), score)
+        index, post = fx.stored_rich(spark, sf)
+        found = scoring.rank_rich(index, compile_clauses(text), score, post)
         return found.select("offer_id", "shop", F.round("score", 4).alias("score"), "exact_terms", "matched_terms", "title_terms", "smart_guess")
 
     return run
 
 
 def candidate_rows(spark, sf):
-    post = IX.build_postings(fx.rich_index(spark, sf))
+    _, post = fx.stored_rich(spark, sf)
     found = IX.candidates(post, compile_clauses("smal widgit"))
     return found.groupBy(F.round("seed", 2).alias("seed")).agg(F.count("*").alias("listings"))
 
