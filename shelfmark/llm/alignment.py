@@ -30,9 +30,10 @@ from shelfmark.llm.common import kept, list_array, map_columns, texts_of, writte
 #: Most pairs that travel to all tasks (20 bytes each).
 COMMON = 1 << 17
 #: Characters and texts of a batch; windows and bytes of links that a worker remembers. They change speed, never results.
-BATCH_CHARS, BATCH_TEXTS = 3_000_000, 1_000
+BATCH_CHARS, BATCH_TEXTS = 2_000_000, 1_000
 WINDOWS, WINDOW_BYTES = 400_000, 32_000_000
 _BITS = 16
+_MARK = (1 << _BITS) - 1
 
 
 def default_paths() -> tuple[str, str]:
@@ -105,51 +106,57 @@ class Aligner:
             return None
         return np.array(a, np.uint16), np.array(b, np.uint16)
 
-    def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], int]:
-        """Numbers of a text's windows, and how many groups it has."""
+    def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[list[bytes], int]:
+        """A text's windows, each as its ids of A, a mark and its ids of B, and how many groups the text has."""
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         mark = np.zeros(a_end[-1] + 1, np.int8)
         mark[a_end] = 1
         mark[b_end] += 2
         at_a, at_b = np.flatnonzero(mark[a_end] == 3) + 1, np.flatnonzero(mark[b_end] == 3) + 1
         ahead = np.append(self.a_blank[a[at_a[:-1]]] & self.b_blank[b[at_b[:-1]]], True)
-        # A window's key: its ids of A, a mark, its ids of B.
         place_a, place_b, cuts = _woven(at_a[ahead], at_b[ahead], 1)
-        woven = np.full(cuts[-1], (1 << _BITS) - 1, np.uint16)
+        woven = np.full(cuts[-1], _MARK, np.uint16)
         woven[place_a], woven[place_b] = a, b
         data, cuts = woven.tobytes(), (2 * cuts).tolist()
-        keys = [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
-        found = list(map(self.known.get, keys))
-        if None in found:
-            self._align({k: w for w, k in enumerate(keys) if found[w] is None}, a, b, mark, at_a, at_b, np.flatnonzero(ahead))
-            found = list(map(self.known.__getitem__, keys))
-        return found, len(at_a)
-
-    def _align(self, new: dict[bytes, int], a: np.ndarray, b: np.ndarray, mark: np.ndarray, at_a: np.ndarray,
-               at_b: np.ndarray, last: np.ndarray) -> None:
-        """Remember new windows (by their number in the text): their groups as text, and a pair of ids for each link.
-
-        ``mark`` has 1 where a token of A ends and 2 where one of B does, ``at_a`` and ``at_b`` where groups end, ``last``
-        the last group of each window. Up to each end, one token of A and one of B are linked.
+        return [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], len(at_a)
+
+    def align(self, windows: list[bytes]) -> None:
+        """Remember new windows: their groups as text, and a pair of ids for each link. All are worked out side by side.
+
+        Up to each end of a token, one token of A and one of B are linked.
         """
-        ends = np.flatnonzero(mark)
-        is_a, is_b = mark[ends] & 1, mark[ends] >> 1
-        links = a[np.cumsum(is_a) - is_a].astype(np.int64) << _BITS | b[np.cumsum(is_b) - is_b]
-        spots = np.concatenate([[0], 8 * (np.flatnonzero(mark[ends] == 3) + 1)[last]]).tolist()
+        woven = np.frombuffer(b"".join(windows), np.uint16)
+        ends = np.cumsum([len(w) // 2 for w in windows])
+        marks = np.flatnonzero(woven == _MARK)
+        size = np.diff(ends, prepend=0)
+        is_a = np.arange(len(woven)) < np.repeat(marks, size)
+        is_b = np.arange(len(woven)) > np.repeat(marks, size)
+        a, b = woven[is_a], woven[is_b]
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        mark = np.zeros(a_end[-1] + 1, np.int8)
+        mark[a_end] = 1
+        mark[b_end] += 2
+        at_a, at_b = np.flatnonzero(mark[a_end] == 3) + 1, np.flatnonzero(mark[b_end] == 3) + 1
+        # The last group of each window.
+        last = np.searchsorted(at_a, np.cumsum(marks - (ends - size)))
+        spots = np.flatnonzero(mark)
+        ends_a, ends_b = mark[spots] & 1, mark[spots] >> 1
+        links = a[np.cumsum(ends_a) - ends_a].astype(np.uint32) << _BITS | b[np.cumsum(ends_b) - ends_b]
+        cuts = np.concatenate([[0], 4 * (np.flatnonzero(mark[spots] == 3) + 1)[last]]).tolist()
         data = links.tobytes()
         # The text of all groups: each id with the sign that follows it.
-        place_a, place_b, cuts = _woven(at_a, at_b, 0)
+        place_a, place_b, seams = _woven(at_a, at_b, 0)
         kind_a, kind_b = np.zeros(len(a), np.int64), np.full(len(b), 2)
         kind_a[at_a - 1], kind_b[at_b - 1] = 1, 3
-        signed = np.zeros(cuts[-1], np.int64)
+        signed = np.zeros(seams[-1], np.int64)
         signed[place_a], signed[place_b] = a + (kind_a << _BITS), b + (kind_b << _BITS)
         text = "".join(map(self.signed.__getitem__, signed.tolist()))
-        far = np.concatenate([[0], np.cumsum(self.signed_size[signed])])[cuts[np.append(0, last + 1)]].tolist()
-        for key, w in new.items():
-            self.known[key] = len(self.groups)
-            self.groups.append(text[far[w]:far[w + 1]])
-            self.pairs.append(data[spots[w]:spots[w + 1]])
-            self.held += spots[w + 1] - spots[w]
+        far = np.concatenate([[0], np.cumsum(self.signed_size[signed])])[seams[np.append(0, last + 1)]].tolist()
+        made = len(self.groups)
+        self.known.update(zip(windows, range(made, made + len(windows)), strict=True))
+        self.groups += [text[i:j] for i, j in zip(far, far[1:], strict=False)]
+        self.pairs += [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        self.held += len(data)
 
 
 def _woven(ends_a: np.ndarray, ends_b: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,10 +173,6 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return kept(("aligner", byte_path, piece_path), lambda: Aligner(byte_path, piece_path))
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
-
-
 def aligned(docs: DataFrame, byte_path: str | None = None, piece_path: str | None = None) -> DataFrame:
     """A row per document: ``doc_id``, sizes, the digest of its groups, and its pairs with their number of links.
 
@@ -181,31 +184,26 @@ def aligned(docs: DataFrame, byte_path: str | None = None, piece_path: str | Non
     def batch(coder: Aligner, ids: list, texts: list[str]) -> tuple:
         if len(coder.groups) > WINDOWS or coder.held > WINDOW_BYTES:
             coder.forget()
-        n_a, n_b, n_groups, digests, used = [], [], [], [], []
+        n_a, n_b, n_groups, used = [], [], [], []
         for text in texts:
             found = coder.tokens(text)
-            if found is None:
-                digests.append("")
-                used.append([])
-                for column in (n_a, n_b, n_groups):
-                    column.append(0)
-                continue
-            windows, groups = coder.windows(*found)
-            digests.append(hashlib.sha256("".join(map(coder.groups.__getitem__, windows))[:-1].encode()).hexdigest())
+            windows, groups = coder.windows(*found) if found else ([], 0)
             used.append(windows)
-            n_a.append(len(found[0]))
-            n_b.append(len(found[1]))
+            n_a.append(len(found[0]) if found else 0)
+            n_b.append(len(found[1]) if found else 0)
             n_groups.append(groups)
-        pairs, counts, n_links = [], [], []
+        new = set().union(*used).difference(coder.known)
+        if new:
+            coder.align(list(new))
+        pairs, counts, n_links, digests = [], [], [], []
         for windows in used:
-            if windows:
-                links = np.frombuffer(b"".join(map(coder.pairs.__getitem__, windows)), np.int64)
-                keys, times = _counted(links)
-                n_links.append(len(links))
-            else:
-                keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                n_links.append(0)
-            pairs.append(keys)
+            numbers = list(map(coder.known.__getitem__, windows))
+            text = "".join(map(coder.groups.__getitem__, numbers))
+            digests.append(hashlib.sha256(text[:-1].encode()).hexdigest() if text else "")
+            links = np.frombuffer(b"".join(map(coder.pairs.__getitem__, numbers)), np.uint32)
+            keys, times = np.unique(links, return_counts=True)
+            n_links.append(len(links))
+            pairs.append(keys.astype(np.int64))
             counts.append(times)
         # The sum of the batch is one more row, without a document.
         every, where = np.unique(np.concatenate(pairs), return_inverse=True)
