@@ -52,6 +52,11 @@ def luma_histogram(values: Column | str) -> Column:
     )
 
 
+def hamming(a: Column | str, b: Column | str) -> Column:
+    """Number of bits in which two hashes differ."""
+    return F.bit_count(col(a).bitwiseXOR(col(b)))
+
+
 def aspect_similarity(a: Column | str, b: Column | str) -> Column:
     def safe(x: Column) -> Column:
         return F.greatest(F.when(F.coalesce(x, F.lit(0.0)) == 0, 1.0).otherwise(x), F.lit(0.01))

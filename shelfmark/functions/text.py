@@ -193,6 +193,19 @@ def later_date(a: Column | str, b: Column | str) -> Column:
     return F.greatest(or_empty(a), or_empty(b))
 
 
+def natural_key(c: Column | str) -> Column:
+    """Text that sorts as people count: runs of digits by their value, all else as it is.
+
+    Each run of digits becomes its length without leading zeros, in three digits, and these digits.
+    """
+    runs = F.regexp_extract_all(or_empty(c), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+
+    def counted(run: Column) -> Column:
+        return let(F.regexp_replace(run, "^0+", ""), lambda r: F.concat(F.lpad(F.length(r).cast("string"), 3, "0"), r))
+
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), counted(r)).otherwise(r)), "")
+
+
 def clean_url_lines(c: Column | str) -> Column:
     """Pasted text to an array of lines without list numbers or blank lines."""
     lines = F.transform(

@@ -1,10 +1,12 @@
-"""Finding the local image file of each listing."""
+"""Finding the local image file of each listing, and images with like hashes."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text as X
+from ..functions import image as I, text as X
 
 
 def _folder(path: Column) -> Column:
@@ -57,3 +59,37 @@ def resolve_images(listings: DataFrame, inventory: DataFrame, export_prefix: str
             "image_src": F.when(local, F.lit("")).otherwise(F.col("image_src")),
         }
     ).drop("_found")
+
+
+#: A hash is cut into parts of equal width.
+PARTS, PART_BITS = 4, 16
+
+
+def near_hashes(signatures: DataFrame, distance: int, hash_column: str = "hash") -> DataFrame:
+    """All pairs of different 64-bit hashes at most ``distance`` bits apart: ``hash_a < hash_b``, ``distance`` and how many
+    rows have each (``images_a``, ``images_b``).
+
+    Of two such hashes at least one of the four parts differs in no more than a quarter of the bits, so one side's parts
+    with up to that many bits turned meet the other side's parts in an equality join. A pair counts at its first such part.
+    Rows with equal hashes are members of their hash and are not paired; null hashes have no neighbours.
+    """
+    reach = distance // PARTS
+    masks = [sum(1 << b for b in bits) for n in range(reach + 1) for bits in combinations(range(PART_BITS), n)]
+    rows = signatures.filter(F.col(hash_column).isNotNull()).groupBy(F.col(hash_column).alias("h")).agg(F.count("*").alias("images"))
+
+    def part(h: str, number: int) -> Column:
+        return F.shiftrightunsigned(h, PART_BITS * number).bitwiseAND(F.lit((1 << PART_BITS) - 1)).cast("int")
+
+    def cut(side: str) -> DataFrame:
+        parts = F.array(*[part("h", n) for n in range(PARTS)])
+        return rows.select(F.col("h").alias(f"hash_{side}"), F.col("images").alias(f"images_{side}"), F.posexplode(parts).alias("part", "value"))
+
+    turned = cut("b").withColumn("value", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: m.bitwiseXOR(F.col("value")))))
+    apart = I.hamming("hash_a", "hash_b")
+    earlier = [F.bit_count(part("hash_a", n).bitwiseXOR(part("hash_b", n))) > reach for n in range(PARTS)]
+    first = F.lit(True)
+    for n in range(1, PARTS):
+        first = first & ((F.col("a.part") < n) | earlier[n - 1])
+    met = cut("a").alias("a").join(turned.alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("a.value") == F.col("b.value"))
+                                   & (F.col("hash_a") < F.col("hash_b")) & first & (apart <= distance))
+    return met.select("hash_a", "hash_b", apart.alias("distance"), "images_a", "images_b")

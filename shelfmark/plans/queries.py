@@ -473,7 +473,7 @@ def vector_build(spark, sf):
     return V.vector_stats(V.refresh_vectors(candidates, known, lambda paths: [[float(len(p)), 1.0] for p in paths]))
 
 
-def _signature(v: DataFrame) -> DataFrame:
+def signature(v: DataFrame) -> DataFrame:
     """Signatures from vectors read as brightness: a 9x8 grid, a histogram and a shape."""
     luma = F.transform("embedding", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), x.cast("double") * 256 + 128)))
     grid = F.concat(F.col("luma"), F.slice("luma", 1, 8))
@@ -483,12 +483,12 @@ def _signature(v: DataFrame) -> DataFrame:
 
 
 def image_hashes(spark, sf):
-    s = _signature(fx.vectors(spark, sf))
+    s = signature(fx.vectors(spark, sf))
     return s.select("id", "hash", F.round(F.col("hist")[7], 6).alias("mid"), F.round(F.col("hist")[0], 6).alias("dark"))
 
 
 def signature_neighbours(spark, sf):
-    s = _signature(fx.vectors(spark, sf))
+    s = signature(fx.vectors(spark, sf))
     first = s.agg(F.min_by(F.struct("hash", "hist", "ratio"), "id").alias("q")).scalar()
     s = X.compute_once(s, {"q": first})
     score = I.signature_similarity("hash", "hist", "ratio", "q.hash", "q.hist", "q.ratio")

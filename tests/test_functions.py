@@ -1,6 +1,7 @@
 """Unit tables for text, URL, price and image functions."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,13 @@ def test_signatures(evaluate):
     norm = evaluate([([3.0, 4.0],), ([0.0, 0.0],)], I.l2_normalize("a"))
     assert norm == [[0.6, 0.8], [0.0, 0.0]]
     assert evaluate(["data:image/png;base64,aGk=", "aGk=", ""], I.decode_payload("a")) == [bytearray(b"hi"), bytearray(b"hi"), None]
+
+
+def test_natural_key_sorts_numbers_by_value(evaluate):
+    texts = ["part 10", "part 9", "part 009b", "part 1000000000000000000000000", "part", "part 0", "", "12 a", "2 a", "a2b10", "a2b9"]
+    keys = dict(zip(texts, evaluate(texts, X.natural_key("a")), strict=True))
+
+    def natural(t):
+        return [(0, int(r), "") if r[0].isdigit() else (1, 0, r) for r in re.findall("[0-9]+|[^0-9]+", t)]
+
+    assert sorted(texts, key=keys.get) == sorted(texts, key=natural)

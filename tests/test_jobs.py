@@ -177,3 +177,22 @@ def test_refresh_vectors(spark):
     assert got["k1"]["embedding"] == [1.0, 0.0] and got["k2"]["embedding"] == [0.0, 1.0]
     assert V.vector_stats(out).first().asDict() == {"total": 2, "reused": 1, "encoded": 1}
     assert V.vectors_stale(now, cache) and not V.vectors_stale(now.limit(1).filter("vector_key = 'k1'"), cache)
+
+
+def test_near_hashes_equal_a_full_comparison(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(-2**63, 2**63 - 1, 40)
+    hashes = [int(h) for h in base] + [0, -1, 1, 3]
+    for h in base:
+        for bits in (1, 3, 6, 9):
+            turned = int(h) & (2**64 - 1)
+            for b in rng.choice(64, bits, replace=False):
+                turned ^= 1 << int(b)
+            hashes.append(turned - 2**64 if turned >= 2**63 else turned)
+    df = spark.createDataFrame([(h,) for h in hashes + hashes[:5]] + [(None,)], "hash long")
+    for distance in (0, 3, 6, 9):
+        expected = {(a, b): bin((a ^ b) & (2**64 - 1)).count("1") for a in set(hashes) for b in set(hashes) if a < b}
+        expected = {p: d for p, d in expected.items() if d <= distance}
+        found = images.near_hashes(df, distance).collect()
+        assert {(r.hash_a, r.hash_b): r.distance for r in found} == expected and len(found) == len(expected)
+        assert all(r.images_a == 1 + (r.hash_a in hashes[:5]) for r in found)
