@@ -2,6 +2,11 @@
 
 Each stage takes the documents its predecessor kept and returns documents with the same columns; the last returns packed
 pieces. Stages read nothing but their input and, for the quality rules, the labels of the same folder.
+
+Every stage takes odd rows as its operator does: null and empty texts have too few words and go with the quality rules; very
+long texts are taken whole; rows that repeat an id and a text leave one behind (near-duplicates), those that repeat an id
+with another text are documents of their own; of equally good copies the one with the smallest id stays, null ids last. Other
+columns are carried, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
