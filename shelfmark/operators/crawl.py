@@ -164,12 +164,15 @@ def repeated_pages(pages: DataFrame) -> DataFrame:
 
 
 def checkpoints(pages: DataFrame, every: int = CHECKPOINT_PAGES) -> DataFrame:
-    """Pages after which a checkpoint is due: every ``every`` pages of a stream and its last one."""
+    """Pages after which a checkpoint is due: every ``every`` pages of a stream and its last one.
+
+    The stride starts with the stream's first page, also where pages are numbered on from stream to stream.
+    """
     by = _streams(pages)
     numbered = pages.select(*by, "page").distinct()
-    last = numbered.groupBy(*by).agg(F.max("page").alias("_last"))
-    due = (F.col("page") % every == 0) | (F.col("page") == F.col("_last"))
-    return numbered.join(last, by).filter(due).drop("_last")
+    ends = numbered.groupBy(*by).agg(F.min("page").alias("_first"), F.max("page").alias("_last"))
+    due = ((F.col("page") - F.col("_first") + 1) % every == 0) | (F.col("page") == F.col("_last"))
+    return numbered.join(ends, by).filter(due).drop("_first", "_last")
 
 
 def backoff(attempt: Column | str) -> Column:

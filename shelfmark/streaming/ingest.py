@@ -13,10 +13,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.crawl import combine_partials, merge_partials, partial_merge
+from ..operators.crawl import CHECKPOINT_PAGES, combine_partials, merge_partials, partial_merge
 from ..operators.listings import index_listings, normalize_listings
 from ..sources.files import LOOSE_SHOP, input_path
 from ..sources.manifest import MANIFEST, manifest_rows
+from .state import checkpoint_marks, newest_marks
 
 
 def _append(df: DataFrame, path: str, batch_id: int) -> None:
@@ -153,20 +154,22 @@ def merged(spark: SparkSession, path: str, keys: list[str] | None = None, seq: s
     return None if rows is None else merge_partials(rows, keys or ["shop", "row_key"], seq)
 
 
-def stream_checkpoints(observations: DataFrame, path: str, checkpoint: str, every: int = 3) -> StreamingQuery:
-    """Write the rows seen up to each checkpoint page (every ``every`` pages) as they arrive.
+def stream_checkpoints(observations: DataFrame, path: str, checkpoint: str, every: int = CHECKPOINT_PAGES) -> StreamingQuery:
+    """Write the checkpoint pages of each shop's streams as pages arrive (see :func:`state.checkpoint_marks`).
 
-    A batch appends its rows under the number of the checkpoint they belong to, so the
-    state at checkpoint ``n`` is everything with ``checkpoint <= n``.
+    The state at a mark is every merged row up to its page (:func:`stream_merge`).
     """
+    marks = checkpoint_marks(observations, every)
+    return (
+        marks.writeStream.outputMode("update").foreachBatch(lambda batch, batch_id: _append(batch, path, batch_id))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        due = F.ceil(F.col("page") / every).cast("int")
-        batch.withColumn("checkpoint", due).write.mode("overwrite").partitionBy("checkpoint").parquet(
-            f"{path}/log/batch={batch_id}"
-        )
 
-    return _start(observations, write, checkpoint)
+def checkpoint_pages(spark: SparkSession, path: str) -> DataFrame | None:
+    """``shop, stream, page`` of the checkpoints due so far."""
+    rows = read_log(spark, path)
+    return None if rows is None else newest_marks(rows)
 
 
 def first_sightings(observations: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:

@@ -2,19 +2,20 @@
 
 import base64
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions.price import Rates
-from shelfmark.operators.crawl import merge_observations
+from shelfmark.operators.crawl import checkpoints, merge_observations
 from shelfmark.operators.listings import index_listings, normalize_listings
 from shelfmark.operators.queue import queue_state
 from shelfmark.plans.index_build import build_index, load_sources, normalize_all
 from shelfmark.sources import files, html, manifest, sinks, state, tabular
 from shelfmark.streaming import ingest
-from shelfmark.streaming.state import queue_state_stream, rate_limit_windows
+from shelfmark.streaming.state import add_pages, due_pages, queue_state_stream, rate_limit_windows
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -235,7 +236,9 @@ def test_queue_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     query = queue_state_stream(stream).writeStream.outputMode("update").format("memory").queryName("queue_out").option(
         "checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    query.awaitTermination(90)
+    # Timeouts keep the query going after all data is read.
+    query.awaitTermination(40)
+    query.stop()
     last = spark.sql("SELECT item_id, max_by(status, seq) AS status, max(seq) AS seq, max(events) AS events FROM queue_out GROUP BY item_id")
     want = {(r["item_id"], r["status"], r["seq"]) for r in queue_state(df.withColumn("ts", F.lit(""))).collect()}
     assert {(r["item_id"], r["status"], r["seq"]) for r in last.collect()} == want and {r["events"] for r in last.collect()} == {8}
@@ -268,3 +271,29 @@ def test_finished_queue_items_leave_the_state():
     assert going.timeout is None and done.timeout == 5
     late = State(done.value, timed_out=True)
     assert list(_advance(("a",), iter([]), late, 5)) == [] and late.removed
+
+
+def test_checkpoint_marks_equal_batch_in_any_order(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(shop, tab, page, n) for shop in "ab" for tab, pages in (("x", range(1, 12)), ("y", range(12, 17)), ("z", [20, 21, 23, 27, 28]))
+            for page in pages for n in range(2)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "shop string, stream string, page long, n int")
+    df.repartition(7).write.parquet(f"{tmp_path}/in")
+    arriving = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    ingest.stream_checkpoints(arriving, f"{tmp_path}/out", f"{tmp_path}/ck", every=3).awaitTermination(120)
+    want = {tuple(r) for r in checkpoints(df, 3).select("shop", "stream", "page").collect()}
+    assert {tuple(r) for r in ingest.checkpoint_pages(spark, f"{tmp_path}/out").collect()} == want
+    assert {p for s, t, p in want if (s, t) == ("a", "y")} == {14, 16} and {p for s, t, p in want if (s, t) == ("a", "x")} == {3, 6, 9, 11}
+
+
+def test_runs_of_pages():
+    rng = random.Random(5)
+    for _ in range(200):
+        pages = [rng.randint(1, 30) for _ in range(rng.randint(1, 25))]
+        starts, ends = [], []
+        for at in range(0, len(pages), 4):
+            starts, ends = add_pages(starts, ends, pages[at:at + 4])
+        assert [p for s, e in zip(starts, ends, strict=True) for p in range(s, e + 1)] == sorted(set(pages))
+        every, first = rng.randint(1, 5), min(pages)
+        assert due_pages(starts, ends, every) == sorted({p for p in pages if (p - first + 1) % every == 0} | {max(pages)})
