@@ -9,14 +9,12 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import accumulate, chain
 
 import numpy as np
 
 from shelfmark.llm.common import kept
 
-#: Chunks that a worker remembers, and bytes of them and their ids: bounded by number and by size.
-REMEMBERED, REMEMBERED_BYTES = 700_000, 64_000_000
+REMEMBERED = 700_000
 _BLANKS = bytes(32 if c == 10 else c for c in range(256))
 _LOWER = bytes(32 if c == 10 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STOP = re.compile(rb"(?<=[a-z])[,.](?= |$)")
@@ -45,27 +43,20 @@ class Chunked:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
         self.known: dict[bytes, bytes] = {}
-        self.held = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # All new chunks of the texts go to the tokenizer at once; one long list of ids is cheaper than many short ones.
-        split = [chunks(text) for text in texts]
-        found = [list(map(self.known.get, parts)) for parts in split]
-        new = list({c for parts, ids in zip(split, found, strict=True) if None in ids
-                    for c, i in zip(parts, ids, strict=True) if i is None})
-        if not new:
-            return list(map(b"".join, found))
-        if len(self.known) + len(new) > REMEMBERED or self.held > REMEMBERED_BYTES:
-            self.known.clear()
-            self.held = 0
-            new = list(set().union(*split))
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(ids), self.dtype).tobytes()
-        ends = list(accumulate(map(len, ids), initial=0))
-        size = self.dtype.itemsize
-        self.known.update(zip(new, [flat[size * i:size * j] for i, j in zip(ends, ends[1:], strict=False)], strict=True))
-        self.held += sum(map(len, new)) + len(flat)
-        return [b"".join(map(self.known.__getitem__, parts) if None in ids else ids) for parts, ids in zip(split, found, strict=True)]
+        out = []
+        for text in texts:
+            parts = chunks(text)
+            new = list(set(parts).difference(self.known))
+            if new:
+                if len(self.known) + len(new) > REMEMBERED:
+                    self.known.clear()
+                    new = list(set(parts))
+                found = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
+                self.known.update(zip(new, (np.array(e.ids, self.dtype).tobytes() for e in found), strict=True))
+            out.append(b"".join(map(self.known.__getitem__, parts)))
+        return out
 
 
 def chunked(path: str) -> Chunked:
