@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import price as P, text as X
 
 MANIFEST_ROWS = 10_000
+# A CSV file is read by one task, since its cells may hold line breaks; larger tables become several files.
+CSV_ROWS = 100_000
 
 
 def csv_columns(existing: list[str], agent: str = "agent") -> list[str]:
@@ -32,7 +34,7 @@ def listing_table(df: DataFrame, agent: str = "agent") -> DataFrame:
 def write_listing_csv(df: DataFrame, path: str, agent: str = "agent") -> None:
     listing_table(df, agent).write.mode("overwrite").option("header", True).option("escape", '"').option(
         "emptyValue", ""
-    ).csv(path)
+    ).option("maxRecordsPerFile", CSV_ROWS).csv(path)
 
 
 def shop_manifests(rows: DataFrame, meta: DataFrame, rates, per_manifest: int = MANIFEST_ROWS) -> DataFrame:

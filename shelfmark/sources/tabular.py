@@ -59,22 +59,38 @@ def _name_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("source_file"), numbers, fields], schema=_RAW)
 
 
-def read_listing_csv(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """Rows of all CSV files below ``root``; quoted line breaks and a byte-order mark are fine.
-
-    Splitting is done by Spark's reader. Naming the cells is a pass over Arrow batches
-    without a shuffle. A file that cannot be read has one row, numbered 0, with what is wrong under ``ERROR``.
-    """
-    cells = [f"c{i}" for i in range(MAX_COLUMNS + 1)]
-    files = (
-        spark.read.schema(", ".join(f"{c} string" for c in cells))
-        .option("header", False)
+def _csv_files(spark: SparkSession, root: str, glob: str, columns: list[str], rest: str = ""):
+    reader = spark.read.schema(", ".join(f"{c} string" for c in [*columns, *filter(None, [rest])]))
+    if rest:
+        reader = reader.option("columnNameOfCorruptRecord", rest)
+    return (
+        reader.option("header", False)
         .option("multiLine", True)
         .option("escape", '"')
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .csv(root)
     )
+
+
+def _widest(spark: SparkSession, root: str, glob: str) -> int:
+    """A number of columns that no header exceeds: by the commas of each file's first record."""
+    records = _csv_files(spark, root, glob, ["c0"], "rest").select(
+        F.col("_metadata.file_path").alias("file"), F.coalesce("rest", "c0", F.lit("")).alias("record"), F.monotonically_increasing_id().alias("at"))
+    commas = F.length("record") - F.length(F.replace(F.col("record"), F.lit(","), F.lit("")))
+    first = records.select("file", "at", commas.alias("n")).groupBy("file").agg(F.min_by("n", "at").alias("n"))
+    return 1 + (first.agg(F.max("n")).first()[0] or 0)
+
+
+def read_listing_csv(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
+    """Rows of all CSV files below ``root``; quoted line breaks and a byte-order mark are fine.
+
+    Splitting is done by Spark's reader. Naming the cells is a pass over Arrow batches
+    without a shuffle. A file that cannot be read has one row, numbered 0, with what is wrong under ``ERROR``.
+    The headers are looked at first: each cell that a row lacks costs the reader a pass over the columns it was told of.
+    """
+    cells = [f"c{i}" for i in range(min(_widest(spark, root, glob), MAX_COLUMNS + 1))]
+    files = _csv_files(spark, root, glob, cells)
     return files.select(input_path(root).alias("source_file"), *cells).mapInArrow(_name_rows, RAW_SCHEMA)
 
 
