@@ -180,19 +180,23 @@ def prices_from_pages(targets: DataFrame, pages: DataFrame) -> tuple[DataFrame,
 def apply_repairs(df: DataFrame, repairs: DataFrame, rates, agent: str = "agent") -> DataFrame:
     """Put repaired prices on the bad rows that have one, marked in ``repaired``.
 
-    One pass: a left join by key, then one price step whose input is empty for all other rows. Good rows get keys that
-    no repair has, spread by hash, so that they cannot pile up in one join partition.
+    Only bad rows are joined by key and go through a price step, whose input is empty for those without a repair. Good rows
+    stay where they are.
     """
     present = [c for c in PRICE_COLUMNS if c in df.columns]
-    plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "array", "struct"))]
-    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*plain), F.lit(1 << 20)).cast("string"))
-    base = df.withColumns({**{f"_was_{c}": F.col(c) for c in present},
-                           "_key": F.coalesce(F.when(is_bad_price(df), row_key(df, agent)), spread)})
+    numbers = ("price_value", "price_original_value")
+    bad, hit = is_bad_price(df), F.col("_fix").isNotNull()
+
+    def before(name: str, column: str) -> Column:
+        if name not in present:
+            return F.lit(None)
+        return P.coerce_number(F.col(column).cast("string")) if name in numbers else F.col(column)
+
+    broken = df.filter(bad).withColumns({**{f"_was_{c}": F.col(c) for c in present}, "_key": row_key(df, agent)})
     fixes = repairs.select(
         F.col("key").alias("_key"), F.col("price").alias("_fix"), F.col("value").alias("_fix_value")
     )
-    hit = F.col("_fix").isNotNull()
-    joined = base.join(fixes, "_key", "left").withColumn("repaired", hit)
+    joined = broken.join(fixes, "_key", "left").withColumn("repaired", hit)
     patched = joined.withColumns(
         {
             **{c: F.when(hit, F.col(c)) for c in present},
@@ -201,17 +205,12 @@ def apply_repairs(df: DataFrame, repairs: DataFrame, rates, agent: str = "agent"
             "price_original_value": F.col("_fix_value"),
         }
     )
-    numbers = ("price_value", "price_original_value")
-
-    def before(name: str) -> Column:
-        if name not in present:
-            return F.lit(None)
-        old = F.col(f"_was_{name}")
-        return P.coerce_number(old.cast("string")) if name in numbers else old
-
     done = normalize_prices(patched, rates)
-    chosen = {c: F.when(F.col("repaired"), F.col(c)).otherwise(before(c)) for c in PRICE_COLUMNS}
-    return done.withColumns(chosen).drop("_key", "_fix", "_fix_value", *[f"_was_{c}" for c in present])
+    chosen = {c: F.when(F.col("repaired"), F.col(c)).otherwise(before(c, f"_was_{c}")) for c in PRICE_COLUMNS}
+    done = done.withColumns(chosen).drop("_key", "_fix", "_fix_value", *[f"_was_{c}" for c in present])
+    kinds = dict(done.dtypes)
+    good = df.filter(~bad).withColumns({"repaired": F.lit(False), **{c: before(c, c).cast(kinds[c]) for c in PRICE_COLUMNS}})
+    return done.unionByName(good)
 
 
 def repair_report(targets: DataFrame, repaired: DataFrame, prices: DataFrame, failures: DataFrame) -> DataFrame:
