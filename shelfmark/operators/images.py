@@ -90,6 +90,7 @@ def near_hashes(signatures: DataFrame, distance: int, hash_column: str = "hash")
     first = F.lit(True)
     for n in range(1, PARTS):
         first = first & ((F.col("a.part") < n) | earlier[n - 1])
-    met = cut("a").alias("a").join(turned.alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("a.value") == F.col("b.value"))
+    # Spark takes the turned rows for as small as the hashes they are made of, and would send them through the driver.
+    met = cut("a").alias("a").hint("merge").join(turned.alias("b").hint("merge"), (F.col("a.part") == F.col("b.part")) & (F.col("a.value") == F.col("b.value"))
                                    & (F.col("hash_a") < F.col("hash_b")) & first & (apart <= distance))
     return met.select("hash_a", "hash_b", apart.alias("distance"), "images_a", "images_b")

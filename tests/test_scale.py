@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.price import Rates
 from shelfmark.operators import prices
+from shelfmark.operators.images import near_hashes
 from shelfmark.operators.scoring import sort_rich
 from shelfmark.plans import fixtures
 from shelfmark.sources import sinks, tabular
@@ -63,3 +64,10 @@ def test_listings_are_dealt_by_part_once(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(moved) == 1 and "l_suppkey" not in moved[0].split(")")[0]
+
+
+def test_turned_hashes_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(5,), (5,), (4,), (-1,), (None,)], "hash long")
+    found = near_hashes(rows, 6)
+    assert [tuple(r) for r in found.collect()] == [(4, 5, 1, 1, 2)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
