@@ -4,9 +4,12 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.price import Rates
 from shelfmark.operators import prices
+from shelfmark.functions.text import clean_text, is_filled, strip_marks
 from shelfmark.operators.images import near_hashes
+from shelfmark.operators.listings import index_listings, normalize_listings
 from shelfmark.operators.scoring import sort_rich
 from shelfmark.plans import fixtures
+from shelfmark.plans.search import Request, is_match, matches
 from shelfmark.sources import sinks, tabular
 
 RATES = Rates(1.37, 0.19, "fixture", "2024-01-02")
@@ -71,3 +74,30 @@ def test_turned_hashes_are_not_broadcast(spark):
     found = near_hashes(rows, 6)
     assert [tuple(r) for r in found.collect()] == [(4, 5, 1, 1, 2)]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_listing_code_is_small_enough_to_be_compiled(spark, tmp_path):
+    spark.sql("SELECT 'S' AS shop, 'f' AS source_file, 1L AS row_number, '' AS offer_id, ' T  1' AS title, '5' AS price, '1' AS sales,"
+              " 'https://detail.1688.com/offer/123456.html' AS source_url, '' AS agent_url, 'i.jpg' AS image_file").write.parquet(f"{tmp_path}/raw")
+    rows = normalize_listings(spark.read.parquet(f"{tmp_path}/raw"))
+    df = index_listings(rows).select("offer_id", "shop", "title", "price_value", "source_file", "row_number", "_blob", "_compact")
+    assert df.select("offer_id", "title", "price_value").collect() == [("123456", "T 1", 5.0)]
+    code = df._jdf.queryExecution().debug().codegenToSeq()
+    # The JVM leaves methods above 8,000 bytes to its interpreter.
+    assert max(code.apply(n)._3().maxMethodCodeSize() for n in range(code.size())) < 8000
+
+
+def test_filled_texts_and_plain_texts(spark):
+    df = spark.createDataFrame([(t,) for t in ("", None, " ", "\t\u3000 ", "a", " é ", "\x00", "\u2028x", "Åx")], "t string")
+    rows = df.select("t", (clean_text("t") != "").alias("a"), is_filled("t").alias("b"), strip_marks("t").alias("s")).collect()
+    assert all(r["a"] == r["b"] for r in rows)
+    assert [r["s"] for r in rows] == ["", None, " ", "\t  ", "a", " e ", "\x00", "\u2028x", "Ax"]
+
+
+def test_counted_matches_are_the_scored_ones(spark):
+    rows = spark.createDataFrame([(n, t, "o1", t, t.replace(" ", ""), t.replace(" ", ""), "o1", t) for n, t in enumerate(
+        ("hot ring", "ring", "pn 7x a", "pn7x", "gear bolt"))], "id long, _title string, _offer string, _blob string, _compact string,"
+        " _title_compact string, _offer_compact string, _raw_title string")
+    for text in ("", "ring", "ring !hot", "pn7x OR gear bolt", "!ring", "boltz", "ri ng"):
+        scored = sorted(r["id"] for r in matches(rows, Request(text)).collect())
+        assert scored == sorted(r["id"] for r in rows.filter(is_match(text)).collect())
