@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.price import Rates
 from shelfmark.operators import prices
-from shelfmark.functions.text import clean_text, is_filled, strip_marks
+from shelfmark.functions.text import _SPACES, clean_text, is_filled, normalize_search, strip_marks
 from shelfmark.operators.images import near_hashes
 from shelfmark.operators.listings import index_listings, normalize_listings
 from shelfmark.operators.scoring import sort_rich
@@ -101,3 +101,13 @@ def test_counted_matches_are_the_scored_ones(spark):
     for text in ("", "ring", "ring !hot", "pn7x OR gear bolt", "!ring", "boltz", "ri ng"):
         scored = sorted(r["id"] for r in matches(rows, Request(text)).collect())
         assert scored == sorted(r["id"] for r in rows.filter(is_match(text)).collect())
+
+
+def test_classes_of_characters_hold_all_they_held(spark):
+    chars = [chr(n) for n in range(1, 0x3100)] + ["\U0001f600", "￿", "﻿"]
+    df = spark.createDataFrame([(f"a{c}{c}  b {c}",) for c in chars] + [(c,) for c in chars], "t string")
+    spelled = F.replace(F.lower("t"), F.lit("&"), F.lit(" and "))
+    plain = F.trim(F.regexp_replace(spelled, "[^a-z0-9]+", " "))
+    collapsed = F.trim(F.regexp_replace("t", _SPACES, " "))
+    assert df.filter((normalize_search("t") != plain) | (clean_text("t") != collapsed)).isEmpty()
+    assert "[^a-z0-9]" not in plan(df.select(normalize_search("t")))
