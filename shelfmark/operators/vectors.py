@@ -159,9 +159,11 @@ def refresh_vectors(candidates: DataFrame, cache: DataFrame,
     ``encode`` gets a list of image paths (at most ``batch``) and returns one vector per
     path; it runs inside the tasks. Only new images reach it.
     """
-    reused = candidates.join(
-        cache.select("vector_key", "embedding").dropDuplicates(["vector_key"]), "vector_key"
-    ).withColumn("reused", F.lit(True))
+    known = cache.select("vector_key", "embedding").dropDuplicates(["vector_key"]).withColumn("reused", F.lit(True))
+    # One join tells known from new; both parts of its rows read the same exchanges.
+    joined = candidates.join(known, "vector_key", "left")
+    columns = ["vector_key", "id", "path", "size", "mtime"]
+    reused = joined.filter("reused")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -172,9 +174,9 @@ def refresh_vectors(candidates: DataFrame, cache: DataFrame,
                 unit = (vectors / np.where(lengths > 0, lengths, 1)).astype(np.float32)
                 yield part.assign(embedding=list(unit), reused=False)
 
-    pending = vectors_pending(candidates, cache).select("vector_key", "id", "path", "size", "mtime")
+    pending = joined.filter("reused IS NULL").select(*columns)
     schema = "vector_key string, id string, path string, size long, mtime long, embedding array<float>, reused boolean"
-    return reused.select("vector_key", "id", "path", "size", "mtime", "embedding", "reused").unionByName(
+    return reused.select(*columns, "embedding", "reused").unionByName(
         pending.mapInPandas(run, schema)
     )
 
