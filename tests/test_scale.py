@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from shelfmark.functions.price import Rates
-from shelfmark.operators import prices
+from shelfmark.operators import postings as IX, prices, vectors as V
 from shelfmark.functions.text import _SPACES, clean_text, is_filled, normalize_search, strip_marks
 from shelfmark.operators.images import near_hashes
 from shelfmark.operators.listings import index_listings, normalize_listings
 from shelfmark.operators.scoring import sort_rich
 from shelfmark.plans import fixtures
-from shelfmark.plans.search import Request, is_match, matches
+from shelfmark.plans.search import Request, is_match, matches, search, search_batch
 from shelfmark.sources import sinks, tabular
 
 RATES = Rates(1.37, 0.19, "fixture", "2024-01-02")
@@ -111,3 +111,62 @@ def test_classes_of_characters_hold_all_they_held(spark):
     collapsed = F.trim(F.regexp_replace("t", _SPACES, " "))
     assert df.filter((normalize_search("t") != plain) | (clean_text("t") != collapsed)).isEmpty()
     assert "[^a-z0-9]" not in plan(df.select(normalize_search("t")))
+
+
+def index_rows(spark, path):
+    """Listings with search columns: two rows hold rings, one of them twice."""
+    spark.sql("SELECT shop, 'f' AS source_file, n AS row_number, cast(n AS string) AS offer_id, title, price FROM VALUES ('A', 1L, 'hot ring', '5'),"
+              " ('A', 2L, 'Ring  red', '7'), ('A', 2L, 'Ring  red', '7'), ('B', 3L, 'gear\tbox', ''), (null, 4L, 'bolt ', '1')"
+              " AS t(shop, n, title, price)").write.parquet(path)
+    return index_listings(normalize_listings(spark.read.parquet(path)))
+
+
+def test_a_search_reads_its_rows_once(spark, tmp_path):
+    index = index_rows(spark, f"{tmp_path}/raw")
+    for request in (Request("ring"), Request("ring", sort="price-desc", offset=1, limit=1), Request("ring OR bolt !hot", limit=2), Request("zzzz")):
+        found = search(index, request)
+        many = matches(index, request).count()
+        start, size = request.page()
+        rows = found.collect()
+        assert [r["rank"] for r in rows] == list(range(start + 1, min(many, start + size) + 1))
+        assert all(r["total"] == many for r in rows)
+        assert "_many" in plan(found) and found.columns == [*index.columns, "score", "rank", "total"]
+    # Where all rows match, counting them needs no texts.
+    assert "_many" not in plan(search(index, Request("")))
+
+
+def test_a_batch_reads_its_rows_once(spark, tmp_path):
+    index = index_rows(spark, f"{tmp_path}/raw")
+    found = search_batch(index, {"a": Request("ring", limit=1), "b": Request("", sort="price-asc", limit=2, offset=1), "c": Request("zzzz")})
+    got = sorted((r["request_id"], r["rank"], r["total"], r["offer_id"]) for r in found.collect())
+    assert got == [("a", 1, 3, "1"), ("b", 2, 5, "1"), ("b", 3, 5, "2")]
+    assert plan(found).count("Relation [") == 1 and "Join" not in plan(found)
+
+
+def test_texts_of_a_row_are_tested_together(spark, tmp_path):
+    spark.sql("SELECT 'S' AS shop, 'f' AS source_file, n AS row_number, title, price, sales, 'u' AS source_url FROM VALUES"
+              " (1L, ' a\tb  c ', '5', '1'), (2L, 'tidy', '  6 ', null), (3L, 'x\u3000y', '7', ' '), (4L, null, '8  9', '2')"
+              " AS t(n, title, price, sales)").write.parquet(f"{tmp_path}/raw")
+    rows = normalize_listings(spark.read.parquet(f"{tmp_path}/raw"))
+    got = sorted((r["row_number"], r["title"], r["price_text"], r["sales"]) for r in rows.collect())
+    assert got == [(1, "a b c", "5", "1"), (2, "tidy", "6", ""), (3, "x y", "7", ""), (4, "(untitled listing)", "8 9", "2")]
+    assert plan(rows).count(r"RLIKE [\x00-\x1f]") + plan(rows).count(r"[\x00-\x1f])") <= 2
+
+
+def test_postings_of_some_fields(spark):
+    names = [f"_{f}_tokens" for f in ("title", "offer", "shop", "blob", "part")]
+    index = spark.createDataFrame([("i", ["a"], ["b"], ["c"], ["a", "b"], None)], "id string, " + ", ".join(f"{n} array<string>" for n in names))
+    every = IX.build_postings(index)
+    some = IX.build_postings(index, "title", "part")
+    assert sorted(some.collect()) == sorted(every.filter("field IN ('title', 'part')").collect()) and some.count() == 1
+    assert "_blob_tokens" not in plan(some.select("token")).split("LogicalRDD")[0]
+
+
+def test_known_vectors_take_one_join(spark):
+    rows = spark.createDataFrame([("k1", "1", "p1", 1, 1), ("k2", "2", "p2", 1, 1), (None, "3", "p3", 1, 1), ("k1", "4", "p4", 1, 1)],
+                                 "vector_key string, id string, path string, size long, mtime long")
+    cache = spark.createDataFrame([("k1", [1.0]), ("k1", [1.0]), (None, [2.0])], "vector_key string, embedding array<float>")
+    found = V.refresh_vectors(rows, cache, lambda paths: [[3.0]] * len(paths))
+    assert sorted((r["id"], r["embedding"], r["reused"]) for r in found.collect()) == [
+        ("1", [1.0], True), ("2", [1.0], False), ("3", [1.0], False), ("4", [1.0], True)]
+    assert "LeftAnti" not in plan(found)
