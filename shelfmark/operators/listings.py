@@ -134,17 +134,25 @@ def index_listings(listings: DataFrame) -> DataFrame:
     )
     tail = X.normalize_search(F.concat_ws(" ", *[X.or_empty(c) for c in ("price_text", "sales", "source_url")]))
     parts = [F.nullif(c, F.lit("")) for c in (F.col("_title"), F.col("_shop"), F.col("_offer"), tail)]
-    return X.compute_once(df, {"_blob": F.concat_ws(" ", *parts)}).withColumns(
-        {
-            "_raw_title": F.lower("title"),
-            "_title_compact": X.compact("_title"),
-            "_offer_compact": X.compact("_offer"),
-            "_compact": X.compact("_blob"),
-            "_title_tokens": X.tokens("_title"),
-            "_offer_tokens": X.tokens("_offer"),
-            "_tokens": X.tokens("_blob"),
-        }
-    )
+    return X.compute_once(df, {"_blob": F.concat_ws(" ", *parts)}).withColumns(derived_columns())
+
+
+def derived_columns() -> dict[str, Column]:
+    """Search columns that follow at little cost from the normalised texts; a stored index leaves them out."""
+    return {
+        "_raw_title": F.lower("title"),
+        "_title_compact": X.compact("_title"),
+        "_offer_compact": X.compact("_offer"),
+        "_compact": X.compact("_blob"),
+        "_title_tokens": X.tokens("_title"),
+        "_offer_tokens": X.tokens("_offer"),
+        "_tokens": X.tokens("_blob"),
+    }
+
+
+def with_derived(index: DataFrame) -> DataFrame:
+    """A stored index with the search columns that it leaves out."""
+    return index.withColumns({c: e for c, e in derived_columns().items() if c not in index.columns})
 
 
 def index_rich(listings: DataFrame) -> DataFrame:

@@ -36,17 +36,20 @@ def load_sources(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame,
     return rows, errors.unionByName(tables.filter(F.col("error").isNotNull()).select("source_file", "error")), good
 
 
-def build_index(spark: SparkSession, root: str, with_images: bool = True) -> DataFrame:
-    """Listings of a data root with their search columns."""
+def build_listings(spark: SparkSession, root: str, with_images: bool = True) -> DataFrame:
+    """Listings of a data root."""
     rows, _, _ = load_sources(spark, root)
     listings = normalize_listings(rows)
-    if with_images:
-        listings = resolve_images(listings, read_image_inventory(spark, root))
-    return index_listings(listings)
+    return resolve_images(listings, read_image_inventory(spark, root)) if with_images else listings
+
+
+def build_index(spark: SparkSession, root: str, with_images: bool = True) -> DataFrame:
+    """Listings of a data root with their search columns."""
+    return index_listings(build_listings(spark, root, with_images))
 
 
 def publish_index(spark: SparkSession, root: str, path: str) -> int:
-    return save_index(build_index(spark, root), path)
+    return save_index(build_listings(spark, root), path)
 
 
 def normalize_all(spark: SparkSession, root: str, rates, fields: list[str]) -> DataFrame:

@@ -115,7 +115,7 @@ UNION ALL SELECT 'Broken/manifest.json', 'not a JSON manifest', 0"""
 def stored_index(spark, sf):
     """Save the index, drop a shop, load it again."""
     path = _folder(spark)
-    sinks.save_index(fx.index(spark, sf), path)
+    sinks.save_index(fx.listings(spark, sf), path)
     sinks.drop_shop(spark, path, "Supplier#000000001")
     return sinks.load_index(spark, path).groupBy("shop").agg(F.count("*").alias("listings"))
 

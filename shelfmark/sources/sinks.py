@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import price as P, text as X
+from ..operators.listings import derived_columns, index_listings, with_derived
 
 MANIFEST_ROWS = 10_000
 # A CSV file is read by one task, since its cells may hold line breaks; larger tables become several files.
@@ -87,19 +88,30 @@ def write_manifests(rows: DataFrame, meta: DataFrame, rates, path: str, per_mani
 def save_index(index: DataFrame, path: str, canonical: str = P.CANONICAL) -> int:
     """Write a new version of the index and make it current; returns the version.
 
+    Listings without search columns get them after they were dealt, so that these are not shuffled. What follows at little
+    cost from other columns is not stored; :func:`load_index` adds it.
+
     Files are laid out by shop and title, so filters on the shop skip row groups and a large
     shop still spreads over many files. The one-row entry in ``versions`` comes last, so
     readers never see half an index.
     """
-    spark = index.sparkSession
+    stored = index.drop(*derived_columns())
+    dealt = stored.repartitionByRange(F.col("shop"), F.col("title"), F.col("id"))
+    if not any(c.startswith("_") for c in index.columns):
+        index = index_listings(dealt)
+        dealt = index.drop(*derived_columns())
+    return _write_version(dealt, index.columns, path, canonical)
+
+
+def _write_version(rows: DataFrame, columns: list[str], path: str, canonical: str) -> int:
+    spark = rows.sparkSession
     version = current_version(spark, path, None)
     version = 1 if version is None else version + 1
-    index.repartitionByRange(F.col("shop"), F.col("title"), F.col("id")).sortWithinPartitions("shop", "title").write.mode(
-        "overwrite"
-    ).parquet(f"{path}/data/version={version}")
+    rows.sortWithinPartitions("shop", "title").write.mode("overwrite").option("compression", "zstd").parquet(
+        f"{path}/data/version={version}")
     # Column names tell whether a stored index is of this format.
     entry = spark.range(1).select(
-        F.lit(version).alias("version"), F.lit(canonical).alias("canonical"), F.array(*map(F.lit, index.columns)).alias("columns")
+        F.lit(version).alias("version"), F.lit(canonical).alias("canonical"), F.array(*map(F.lit, columns)).alias("columns")
     )
     entry.coalesce(1).write.mode("append").parquet(f"{path}/versions")
     return version
@@ -122,6 +134,11 @@ REQUIRED = {"id", "shop", "title", "price_value", "source_file", "_title", "_blo
 
 def load_index(spark: SparkSession, path: str, canonical: str = P.CANONICAL) -> DataFrame | None:
     """The stored index, or None if it is absent, of another currency or malformed."""
+    index = _stored_rows(spark, path, canonical)
+    return None if index is None else with_derived(index)
+
+
+def _stored_rows(spark: SparkSession, path: str, canonical: str = P.CANONICAL) -> DataFrame | None:
     version = current_version(spark, path, canonical)
     if version is None:
         return None
@@ -130,9 +147,14 @@ def load_index(spark: SparkSession, path: str, canonical: str = P.CANONICAL) ->
 
 
 def drop_shop(spark: SparkSession, path: str, shop: str) -> int | None:
-    """Publish the index without one shop. Source files are left alone."""
-    index = load_index(spark, path)
-    return None if index is None else save_index(index.filter(F.col("shop") != shop), path)
+    """Publish the index without one shop. Source files are left alone.
+
+    The stored rows lie by shop and title already, so they are written as they are read and not dealt again.
+    """
+    rows = _stored_rows(spark, path)
+    if rows is None:
+        return None
+    return _write_version(rows.filter(F.col("shop") != shop), with_derived(rows).columns, path, P.CANONICAL)
 
 
 def save_vectors(vectors: DataFrame, path: str) -> None:

@@ -150,6 +150,23 @@ def test_index_versions(spark, tmp_path):
     assert sinks.save_index(index.drop("_blob"), path) == 3 and sinks.load_index(spark, path) is None
 
 
+def test_stored_index_is_narrow_and_whole(spark, tmp_path):
+    raw = listing_rows(spark).select("shop", F.lit("f").alias("source_file"), F.col("id").cast("long").alias("row_number"), "title", "price")
+    listings = normalize_listings(raw)
+    index = index_listings(listings)
+    for n, df in enumerate((index, listings)):
+        path = f"{tmp_path}/ix{n}"
+        sinks.save_index(df, path)
+        # What follows from other columns is neither dealt nor stored, and there again when the index is loaded.
+        assert not {"_compact", "_tokens", "_raw_title", "_title_tokens"} & set(spark.read.parquet(f"{path}/data/version=1").columns)
+        loaded = sinks.load_index(spark, path)
+        assert loaded.columns == index.columns
+        assert sorted(map(str, loaded.collect())) == sorted(map(str, index.collect()))
+        sinks.drop_shop(spark, path, "Big")
+        left = sinks.load_index(spark, path)
+        assert sorted(map(str, left.collect())) == sorted(map(str, index.filter("shop <> 'Big'").collect()))
+
+
 def test_state(spark, tmp_path):
     p = tmp_path / "s.json"
     p.write_text(json.dumps({"favorites": ["b", " a", "b"], "disabled": "x"}))
