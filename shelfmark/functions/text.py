@@ -132,7 +132,7 @@ def unique_tokens(c: Column | str) -> Column:
 
 def string_list(c: Column | str) -> Column:
     """Cleaned, distinct list in case-insensitive order; NULL becomes an empty list."""
-    cleaned = F.array_distinct(F.filter(F.transform(col(c), clean_text), lambda t: t != ""))
+    cleaned = F.array_distinct(F.filter(F.transform(col(c), lambda t: clean_text(t)), lambda t: t != ""))
 
     def by_lower(a, b):
         la, lb = F.lower(a), F.lower(b)
