@@ -170,3 +170,15 @@ def test_known_vectors_take_one_join(spark):
     assert sorted((r["id"], r["embedding"], r["reused"]) for r in found.collect()) == [
         ("1", [1.0], True), ("2", [1.0], False), ("3", [1.0], False), ("4", [1.0], True)]
     assert "LeftAnti" not in plan(found)
+
+
+def test_lists_sorted_twice_make_their_keys_once(spark, tmp_path):
+    rows = [("b", "Écran 10", "s2"), ("a", "ecran 9", "s10"), ("c", None, "s2"), ("c", None, "s2"), (None, "x", None)]
+    df = spark.createDataFrame(rows, "id string, title string, shop string").withColumns(
+        {"price_value": F.lit(1.0), "score": F.lit(2.0), "exact_terms": F.lit(0), "title_terms": F.lit(0)})
+    scoring.order_keys(df).write.parquet(str(tmp_path / "kept"))
+    kept = spark.read.parquet(str(tmp_path / "kept"))
+    for sort in ("match", "title", "shop", "price-asc"):
+        found = scoring.sort_rich(kept, sort)
+        assert [r[:3] for r in found.collect()] == [r[:3] for r in scoring.sort_rich(df, sort).collect()]
+        assert "regexp_extract_all" not in plan(found) and scoring.sort_rich(df, sort).columns == df.columns
