@@ -7,7 +7,7 @@ from shelfmark.operators import postings as IX, prices, vectors as V
 from shelfmark.functions.text import _SPACES, clean_text, is_filled, normalize_search, strip_marks
 from shelfmark.operators.images import near_hashes
 from shelfmark.operators.listings import index_listings, normalize_listings
-from shelfmark.operators.scoring import sort_rich
+from shelfmark.operators.scoring import order_keys, sort_rich
 from shelfmark.plans import fixtures
 from shelfmark.plans.search import Request, is_match, matches, search, search_batch
 from shelfmark.sources import sinks, tabular
@@ -176,9 +176,9 @@ def test_lists_sorted_twice_make_their_keys_once(spark, tmp_path):
     rows = [("b", "Écran 10", "s2"), ("a", "ecran 9", "s10"), ("c", None, "s2"), ("c", None, "s2"), (None, "x", None)]
     df = spark.createDataFrame(rows, "id string, title string, shop string").withColumns(
         {"price_value": F.lit(1.0), "score": F.lit(2.0), "exact_terms": F.lit(0), "title_terms": F.lit(0)})
-    scoring.order_keys(df).write.parquet(str(tmp_path / "kept"))
+    order_keys(df).write.parquet(str(tmp_path / "kept"))
     kept = spark.read.parquet(str(tmp_path / "kept"))
     for sort in ("match", "title", "shop", "price-asc"):
-        found = scoring.sort_rich(kept, sort)
-        assert [r[:3] for r in found.collect()] == [r[:3] for r in scoring.sort_rich(df, sort).collect()]
-        assert "regexp_extract_all" not in plan(found) and scoring.sort_rich(df, sort).columns == df.columns
+        found = sort_rich(kept, sort)
+        assert [r[:3] for r in found.collect()] == [r[:3] for r in sort_rich(df, sort).collect()]
+        assert "regexp_extract_all" not in plan(found) and sort_rich(df, sort).columns == df.columns
